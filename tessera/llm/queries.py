@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import sharding
+from tessera.llm import bpe, sharding
 from tessera.llm.common import table
 
 
+def tokenizer_path() -> str:
+    """The tokenizer of op8 and of the pipeline's last stage."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.roundtrip(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
