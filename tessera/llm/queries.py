@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontam, sharding, sql
+from tessera.llm import bpe, decontam, sharding, sql, warc
 from tessera.llm.common import table
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read(warc.write(table(spark, sf_dir, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
+
+
 def tokenizer_path() -> str:
     """The tokenizer of op8 and of the pipeline's last stage."""
     import public_tokenizers

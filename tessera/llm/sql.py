@@ -17,4 +17,11 @@ items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
 FROM d LEFT JOIN covered USING (r) LEFT JOIN items USING (r)"""
 
-ORACLE = {"op10_decontamination": _OP10}
+_OP6 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha256(coalesce(html, '')) AS d, strlen(coalesce(html, ''))::BIGINT AS n FROM pages),
+f AS (SELECT d, min(page_id) AS first FROM p GROUP BY d)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to, true AS verified
+FROM p JOIN f USING (d)"""
+
+ORACLE = {"op6_warc": _OP6, "op10_decontamination": _OP10}
