@@ -17,6 +17,13 @@ items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
 FROM d LEFT JOIN covered USING (r) LEFT JOIN items USING (r)"""
 
+_OP3 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e))
+SELECT query_id, rank, vec_id, score FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM s) WHERE rank <= 5"""
+
 _OP6 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha256(coalesce(html, '')) AS d, strlen(coalesce(html, ''))::BIGINT AS n FROM pages),
 f AS (SELECT d, min(page_id) AS first FROM p GROUP BY d)
@@ -24,4 +31,4 @@ SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN n >= 100 AND
   CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to, true AS verified
 FROM p JOIN f USING (d)"""
 
-ORACLE = {"op6_warc": _OP6, "op10_decontamination": _OP10}
+ORACLE = {"op3_topk": _OP3, "op6_warc": _OP6, "op10_decontamination": _OP10}
