@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontam, neardup, sharding, sql, topk, warc
+from tessera.llm import bpe, decontam, neardup, sharding, sql, topk, urlfilter, warc
 from tessera.llm.common import table
 
 
@@ -23,6 +23,11 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
 
 
+def op7_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = urlfilter.fetch_times(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return urlfilter.evaluate(captures, urlfilter.entries(spark))
+
+
 def tokenizer_path() -> str:
     """The tokenizer of op8 and of the pipeline's last stage."""
     import public_tokenizers

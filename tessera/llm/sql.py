@@ -1,5 +1,7 @@
 """DuckDB SQL of the corpus operators' queries, over the driver's views."""
 
+from tessera.llm.urlfilter import ENTRIES
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _OP10 = f"""
@@ -31,4 +33,18 @@ SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN n >= 100 AND
   CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to, true AS verified
 FROM p JOIN f USING (d)"""
 
-ORACLE = {"op3_topk": _OP3, "op6_warc": _OP6, "op10_decontamination": _OP10}
+_ENTRIES = ", ".join(f"('{l}', '{e}', '{p}', '{a}', TIMESTAMP '{d}')" for l, e, p, a, d in ENTRIES)
+_OP7 = f"""
+WITH e(list, effect, pattern, action, since) AS (VALUES {_ENTRIES}),
+c AS (SELECT row_number() OVER () AS r, page_id, url, TIMESTAMP '2024-01-01' + to_seconds(((page_id * 7919 * 61) % (366 * 86400))::DOUBLE) AS fetched_at,
+  regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1) AS host,
+  '/' || array_to_string(list_filter(string_split(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/'), lambda s: s <> ''), '/') || '/' AS path FROM pages),
+pairs AS (SELECT DISTINCT list, pattern FROM e),
+hits AS (SELECT c.r, c.fetched_at, p.list, p.pattern FROM c JOIN pairs p
+  ON (c.host = split_part(p.pattern, '/', 1) OR ends_with(c.host, '.' || split_part(p.pattern, '/', 1))) AND (NOT contains(p.pattern, '/') OR starts_with(c.path, '/' || split_part(p.pattern, '/', 2) || '/'))),
+latest AS (SELECT h.r, h.list, h.pattern, e.effect, e.action, e.since FROM hits h ASOF JOIN e ON h.list = e.list AND h.pattern = e.pattern AND h.fetched_at >= e.since),
+active AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY length(pattern) DESC, effect, list, pattern, since) AS k, count(*) OVER (PARTITION BY r) AS n FROM latest WHERE action = 'add')
+SELECT page_id, url, fetched_at, CASE WHEN effect = 'block' THEN 'block' ELSE 'keep' END AS verdict, list AS rule_list, pattern AS rule_pattern, since AS rule_since, coalesce(n, 0)::BIGINT AS n_active
+FROM c LEFT JOIN (SELECT * FROM active WHERE k = 1) USING (r)"""
+
+ORACLE = {"op7_urlfilter": _OP7, "op3_topk": _OP3, "op6_warc": _OP6, "op10_decontamination": _OP10}
