@@ -103,7 +103,7 @@ def signature(h: np.ndarray) -> bytes:
 
 
 def _profiles(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """key, n_shingles, digest (of the set; null for the empty set) and sig."""
+    """key, mark (of the text), n_shingles, digest (of the set; null for the empty set) and sig."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -113,9 +113,15 @@ def _profiles(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
                 sizes.append(len(h))
                 digests.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
                 sigs.append(signature(h) if len(h) else None)
-            yield pa.RecordBatch.from_pydict({"key": b.column("key"), "n_shingles": pa.array(sizes, pa.int64()), "digest": pa.array(digests, pa.binary()), "sig": pa.array(sigs, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"key": b.column("key"), "mark": b.column("mark"), "n_shingles": pa.array(sizes, pa.int64()), "digest": pa.array(digests, pa.binary()), "sig": pa.array(sigs, pa.binary())})
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("text")).mapInArrow(run, "key long, n_shingles long, digest binary, sig binary")
+    rows = docs.select(F.col(key).cast("long").alias("key"), _mark(text).alias("mark"), F.col(text).cast("binary").alias("text"))
+    return rows.mapInArrow(run, "key long, mark binary, n_shingles long, digest binary, sig binary")
+
+
+def _mark(text: str) -> Column:
+    """What tells texts apart, in 16 bytes; the null text's is the empty text's."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
 
 def _sets(docs: DataFrame, text: str, n: int) -> DataFrame:
@@ -188,8 +194,8 @@ def _components(scratch: Scratch, links: DataFrame) -> DataFrame:
     raise RuntimeError("the components did not settle")
 
 
-def classes(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text", n: int = N) -> DataFrame:
-    """Per row: key, n_shingles, digest, component_id (the least key reachable by links of ``100 * intersection >= percent * union``) and kept (its own key is that)."""
+def _classes(docs: DataFrame, percent: int, key: str, text: str, n: int) -> tuple[Scratch, DataFrame, DataFrame]:
+    """The profiles, and of each set (digest): first (its rows' least key) and label (its class)."""
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "neardup")
     profiles = scratch.write(_profiles(docs, key, text, n), "profiles")
@@ -198,14 +204,11 @@ def classes(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str =
 
     # Full sets, of the sets that are part of a pair only.
     wanted = scratch.write(pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct(), "wanted")
-    rows = profiles.select("key", "digest").join(wanted, "digest", "left_semi").select("key").distinct()
-    rows = scratch.write(rows, "wanted-rows")
-    texts = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("text"))
-    texts = texts.join(rows, F.col("_key").eqNullSafe(F.col("key")), "left_semi")
+    marks = scratch.write(profiles.select("mark", "digest").join(wanted, "digest", "left_semi").groupBy("digest").agg(F.min("mark").alias("mark")).select("mark"), "wanted-texts")
+    texts = docs.select(_mark(text).alias("mark"), F.col(text).alias("text")).join(marks, "mark", "left_semi")
     sets = scratch.write(_sets(texts, "text", n).groupBy("digest").agg(F.first("set").alias("set")), "sets")
-    one = pairs.join(sets.select(F.col("digest").alias("a"), F.col("set").alias("x")), "a")
-    half = scratch.write(one, "half")
-    two = half.join(sets.select(F.col("digest").alias("b"), F.col("set").alias("y")), "b")
+    one = scratch.write(pairs.join(sets.select(F.col("digest").alias("a"), F.col("set").alias("x")), "a"), "half")
+    two = one.join(sets.select(F.col("digest").alias("b"), F.col("set").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
     links = scratch.write(two.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b"), "links")
     for name in ("half", "sets", "pairs"):
@@ -213,9 +216,33 @@ def classes(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str =
 
     labels = _components(scratch, links)
     named = firsts.join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "first", F.coalesce("label", "digest").alias("label"))
-    named = scratch.write(named, "named")
+    return scratch, profiles, scratch.write(named, "named")
+
+
+def classes(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text", n: int = N) -> DataFrame:
+    """Per row: key, n_shingles, digest, component_id (the least key reachable by links of ``100 * intersection >= percent * union``) and kept (its own key is that)."""
+    scratch, profiles, named = _classes(docs, percent, key, text, n)
     least = scratch.write(named.groupBy("label").agg(F.min("first").alias("component_id")), "least")
     of_set = scratch.write(named.join(least, "label").select("digest", "component_id"), "of-set")
     out = profiles.select("key", "n_shingles", "digest").join(of_set, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("key")).otherwise(F.col("component_id"))
     return out.select(F.col("key").alias(key), "n_shingles", "digest", component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(False)).alias("kept"))
+
+
+def representatives(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text", n: int = N) -> DataFrame:
+    """``docs``, of each class one row: that of the least key (null keys last) and then of the least text mark. Rows without words are all kept."""
+    scratch, profiles, named = _classes(docs, percent, key, text, n)
+    rows = profiles.where("digest IS NOT NULL").select("key", "mark", "digest")
+    of_set = scratch.write(rows.groupBy("digest").agg(F.min(F.struct(F.col("key").isNull().alias("last"), "key", "mark")).alias("best")), "best")
+    labelled = scratch.write(of_set.join(named.select("digest", "label"), "digest"), "labelled")
+    chosen = scratch.write(labelled.groupBy("label").agg(F.min("best").alias("best")).select("best.key", "best.mark"), "chosen")
+    same = lambda x, y: x["key"].eqNullSafe(y["key"]) & (x["mark"] == y["mark"])
+    gone = scratch.write(rows.join(chosen, same(rows, chosen), "left_anti").select("key", "mark").distinct(), "gone")
+    marked = docs.withColumns({"_key": F.col(key).cast("long"), "_mark": _mark(text)})
+    left = marked.join(gone, marked["_key"].eqNullSafe(gone["key"]) & (marked["_mark"] == gone["mark"]), "left_anti")
+    # Rows equal in key and text are told apart by nothing; only such rows, if there are any, are compared with each other.
+    twice = scratch.write(rows.groupBy("key", "mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "twice")
+    if not twice.isEmpty():
+        are = left["_key"].eqNullSafe(twice["key"]) & (left["_mark"] == twice["mark"])
+        left = left.join(twice, are, "left_anti").unionByName(left.join(twice, are, "left_semi").dropDuplicates(["_key", "_mark"]))
+    return left.select(*docs.columns)
