@@ -12,8 +12,15 @@ EMBED_LIMIT, CHUNK, KEYWORD_LEAST = 5500, 2000, 3
 LANGUAGES = {".py": "python", ".java": "java", ".js": "javascript"}
 #: Modules that count as the standard library.
 STDLIB = (
-    "os", "sys", "re", "json", "math", "time", "datetime", "logging", "pathlib", "typing", "collections", "itertools", "functools", "subprocess", "shutil", "io", "abc", "copy", "enum",
-    "dataclasses", "contextlib", "threading", "multiprocessing", "socket", "http", "urllib", "hashlib", "random", "string", "struct", "tempfile", "unittest", "traceback", "warnings", "stat",
+    "os", "sys", "re", "json", "math", "time", "datetime", "pathlib",
+    "typing", "collections", "itertools", "functools", "io", "abc",
+    "logging", "unittest", "subprocess", "shutil", "glob", "copy",
+    "random", "hashlib", "base64", "struct", "socket", "threading",
+    "multiprocessing", "asyncio", "contextlib", "dataclasses", "enum",
+    "string", "textwrap", "traceback", "warnings", "weakref", "gc",
+    "inspect", "importlib", "pkgutil", "types", "operator", "heapq",
+    "bisect", "array", "queue", "signal", "platform", "tempfile",
+    "csv", "configparser", "argparse", "pprint", "http", "urllib",
 )
 
 

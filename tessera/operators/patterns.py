@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from tessera.functions import text
 
 #: Class-name endings, function-name beginnings.
-SUFFIXES = ("Service", "Controller", "Manager", "Handler", "Repository", "Factory", "Builder", "Client", "Helper", "Utils", "Parser", "Processor", "Analyzer", "Detector", "Generator")
-PREFIXES = ("get_", "set_", "create_", "update_", "delete_", "fetch_", "save_", "load_", "parse_", "process_", "handle_", "validate_", "build_", "run_", "is_", "has_", "test_", "_")
+SUFFIXES = ("Service", "Manager", "Handler", "Repository", "Controller", "Helper", "Builder", "Factory", "Processor", "Client", "Analyzer", "Generator", "Validator", "Parser", "Loader")
+PREFIXES = (
+    "get_", "set_", "process_", "handle_", "create_", "update_", "delete_", "parse_", "build_", "run_", "execute_", "fetch_", "save_", "load_", "extract_", "compute_", "validate_", "check_",
+)
+#: How evidence is worded.
+LAYERED = "Presenza di classi Service e Repository che separano logica e accesso ai dati"
+REST, CLIENT, BUILDER = "Rilevati %s endpoint API nel progetto", "Classi client rilevate: %s", "Classi builder/factory rilevate: %s"
 
 
 def affixes(names: DataFrame, listed: tuple[str, ...], ending: bool, top: int = 5) -> DataFrame:
@@ -32,19 +37,22 @@ def naming_style(entities: DataFrame) -> DataFrame:
 
 
 def architecture(classes: DataFrame, endpoints: int | Column = 0, by: list[str] | None = None) -> DataFrame:
-    """pattern and evidence, a row for each rule that holds for a group (``by``) of class names.
+    """pattern, evidence and confidence: a row for each rule that holds for a group (``by``) of class names.
 
-    Layered: services and repositories; REST: a controller or any endpoint; Client: a name ending so; Builder/Factory: either.
+    Names of a kind are collected as sets of distinct names, which class declarations bound.
     """
-    ends = lambda s: F.col("name").endswith(s)
-    counts = classes.groupBy(*(by or [])).agg(*[F.count_if(ends(s)).alias(s) for s in ("Service", "Repository", "Controller", "Client", "Builder", "Factory")])
+    ends = lambda *s: F.regexp_like("name", F.lit("(" + "|".join(s) + ")$"))
+    names = lambda alias, *s: F.array_join(F.array_sort(F.collect_set(F.when(ends(*s), F.col("name")))), ", ").alias(alias)
+    counts = classes.groupBy(*(by or [])).agg(
+        *[F.count_if(ends(s)).alias(s) for s in ("Service", "Repository", "Controller")], names("clients", "Client"), names("builders", "Builder", "Factory")
+    )
     n = F.lit(endpoints) if isinstance(endpoints, int) else endpoints
-    rule = lambda name, holds, evidence: F.when(holds, F.struct(F.lit(name).alias("pattern"), evidence.cast("long").alias("evidence")))
+    rule = lambda name, holds, evidence, sure: F.when(holds, F.struct(F.lit(name).alias("pattern"), evidence.alias("evidence"), F.when(sure, "alta").otherwise("media").alias("confidence")))
     rules = F.array(
-        rule("Layered", (F.col("Service") > 0) & (F.col("Repository") > 0), F.col("Service") + F.col("Repository")),
-        rule("REST", (F.col("Controller") > 0) | (n > 0), F.col("Controller") + n),
-        rule("Client", F.col("Client") > 0, F.col("Client")),
-        rule("Builder/Factory", (F.col("Builder") > 0) | (F.col("Factory") > 0), F.col("Builder") + F.col("Factory")),
+        rule("Layered Architecture", (F.col("Service") > 0) & (F.col("Repository") > 0), F.lit(LAYERED), F.col("Controller") > 0),
+        rule("REST API", n > 0, F.format_string(REST, n.cast("string")), n > 3),
+        rule("Client Singleton", F.col("clients") != "", F.format_string(CLIENT, "clients"), F.lit(False)),
+        rule("Builder/Factory", F.col("builders") != "", F.format_string(BUILDER, "builders"), F.lit(False)),
     )
     return counts.select(*(by or []), F.inline(F.filter(rules, lambda r: r.isNotNull())))
 

@@ -144,14 +144,16 @@ _KIND_SQL = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _KINDS.items())
 
 
 @query(f"""WITH c AS (SELECT user_id, CASE event_type {_KIND_SQL} END AS name FROM events),
-n AS (SELECT user_id, count(*) FILTER (WHERE name LIKE '%Service') s, count(*) FILTER (WHERE name LIKE '%Repository') r, count(*) FILTER (WHERE name LIKE '%Controller') k, count(*) FILTER (WHERE name LIKE '%Client') c,
-  count(*) FILTER (WHERE name LIKE '%Factory' OR name LIKE '%Builder') f FROM c GROUP BY 1)
-SELECT user_id, 'Layered' AS pattern, s + r AS evidence FROM n WHERE s > 0 AND r > 0 UNION ALL SELECT user_id, 'REST', k FROM n WHERE k > 0 UNION ALL SELECT user_id, 'Client', c FROM n WHERE c > 0
-UNION ALL SELECT user_id, 'Builder/Factory', f FROM n WHERE f > 0""")
+n AS (SELECT user_id, count(*) FILTER (WHERE name LIKE '%Service') s, count(*) FILTER (WHERE name LIKE '%Repository') r, count(*) FILTER (WHERE name LIKE '%Controller') k,
+  string_agg(DISTINCT name, ', ' ORDER BY name) FILTER (WHERE name LIKE '%Client') c, string_agg(DISTINCT name, ', ' ORDER BY name) FILTER (WHERE name LIKE '%Factory' OR name LIKE '%Builder') f FROM c GROUP BY 1)
+SELECT user_id, 'Layered Architecture' AS pattern, '{patterns.LAYERED}' AS evidence, CASE WHEN k > 0 THEN 'alta' ELSE 'media' END AS confidence FROM n WHERE s > 0 AND r > 0
+UNION ALL SELECT user_id, 'REST API', '{patterns.REST.replace("%s", "5")}', 'alta' FROM n
+UNION ALL SELECT user_id, 'Client Singleton', '{patterns.CLIENT.replace("%s", "")}' || c, 'media' FROM n WHERE c IS NOT NULL
+UNION ALL SELECT user_id, 'Builder/Factory', '{patterns.BUILDER.replace("%s", "")}' || f, 'media' FROM n WHERE f IS NOT NULL""")
 def arch_rules(t: Tables) -> DataFrame:
-    """A5: a user's events stand for a project's classes."""
+    """A5: a user's events stand for a project's classes; each project has five endpoints."""
     name = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in _KINDS.items()])
-    return patterns.architecture(t.events.select("user_id", name.alias("name")), by=["user_id"])
+    return patterns.architecture(t.events.select("user_id", name.alias("name")), endpoints=5, by=["user_id"])
 
 
 _TOKEN = f"list_extract(string_split_regex({_STRIP.format('text')}, '\\s+'), 2)"
