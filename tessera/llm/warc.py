@@ -22,6 +22,8 @@ from tessera.llm.common import Scratch
 
 #: Payloads of fewer bytes are stored once too, but never recorded as revisits.
 LEAST = 100
+#: The place of a null page_id in the order of pages.
+LAST = 2**63 - 1
 DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -44,17 +46,17 @@ def write(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload:
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b"").cast("binary"))
     rows = pages.select(
         F.col(page_id).cast("long").alias("page_id"), F.regexp_replace(F.coalesce(F.col(url).cast("string"), F.lit("")), r"[\r\n]", " ").alias("url"), body.alias("payload")
-    ).withColumns({"digest": F.sha2("payload", 256), "bytes": F.octet_length("payload").cast("long")})
+    ).withColumns({"digest": F.sha2("payload", 256), "bytes": F.octet_length("payload").cast("long"), "order": F.coalesce("page_id", F.lit(LAST))})
 
-    firsts = scratch.write(rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
-    # Payloads are dealt out by digest and page together, so the copies of a large group go to different tasks; only its first page's bytes go on.
-    first = firsts.select(F.col("digest").alias("_digest"), F.col("first").alias("_first"))
-    stored = rows.join(first, (F.col("digest") == F.col("_digest")) & F.col("page_id").eqNullSafe(F.col("_first")), "left_semi").select("digest", "payload")
-    payloads = scratch.write(stored.dropDuplicates(["digest"]), "payloads")
+    firsts = scratch.write(rows.groupBy("digest").agg(F.min("order").alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
+    # Payloads are dealt out by digest and page together, so the copies of a large group go to different tasks; only its first page's bytes go on,
+    # and equal rows are then in the same task, so they take no second shuffle.
+    stored = rows.select("digest", "order", "payload").join(firsts.select("digest", F.col("first").alias("order")), ["digest", "order"], "left_semi")
+    payloads = scratch.write(stored.dropDuplicates(["digest", "order"]).select("digest", "payload"), "payloads")
 
     shared = firsts.where("n > 1").select("digest", "first")
-    small = rows.select("page_id", "url", "digest", "bytes").join(shared, "digest", "left")
-    revisit = (F.col("bytes") >= LEAST) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    small = rows.select("page_id", "order", "url", "digest", "bytes").join(shared, "digest", "left")
+    revisit = (F.col("bytes") >= LEAST) & F.col("first").isNotNull() & (F.col("order") != F.col("first"))
     kind = F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))
     refers = F.when(revisit, F.col("first"))
     lines = lambda *pairs: F.concat_ws("\r\n", *[p if isinstance(p, Column) else F.lit(p) for p in pairs])
