@@ -10,7 +10,7 @@ The query set and the candidates meet in blocks: a row of the joined table is a
 Best scores are reduced to k per query within each task before they are shuffled.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part, nor do rows without an id; a query meets only candidates of its own dimension;
-rows that bear the query's id are its own and no candidates, and of several the least vector is the query; among other rows, repeated ids are separate candidates; ties go to the smaller id; no other candidate, no row.
+rows that bear the query's id are its own and no candidates, and of several the least vector is the query; among other rows, repeated ids are separate candidates; ties go to the smaller id; no other candidate, no row. Scores beyond 64 bits are out of range.
 """
 
 from __future__ import annotations

@@ -65,6 +65,8 @@ class Model:
         self.bias, self.weights, self.stems = bias, weights, {w for w in weights if w[-1] == "*"}
 
     def score(self, text: str | None) -> float:
+        if np.isinf(self.bias):
+            return float(self.bias > 0)
         found = sorted(features(text, self.stems) & self.weights.keys())
         return float(1 / (1 + np.exp(-np.clip(self.bias + sum(self.weights[x] for x in found), -500, 500))))
 
