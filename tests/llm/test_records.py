@@ -94,3 +94,17 @@ def test_url_filter(spark):
     out = {r.page_id: r.verdict for r in urlfilter.evaluate(rows, lists).collect()}
     assert out == {i: v for i, (_, _, v) in enumerate(cases)}
     assert urlfilter.evaluate(rows.limit(0), lists).collect() == [] and urlfilter.evaluate(rows, lists.limit(0)).where("verdict = 'block'").count() == 0
+
+
+def test_rendezvous_equals_brute_force(spark):
+    import math
+
+    def bid(key, shard, weight):
+        u = (int(hashlib.md5(f"{key}:{shard}".encode()).hexdigest()[:13], 16) + 0.5) / 16**13
+        return -math.log(u) / weight, shard
+
+    weights = [1.0, 3.0, 0.5, 1.0]
+    docs = spark.createDataFrame([(i, "t") for i in range(500)], "doc_id long, text string")
+    for r in sharding.assign(docs, weights=weights).collect():
+        assert r.shard == min(bid(r.doc_id, s, w) for s, w in enumerate(weights))[1]
+        assert r.grown_shard == min(bid(r.doc_id, s, w) for s, w in enumerate([*weights, 1.0]))[1]
