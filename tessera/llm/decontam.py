@@ -99,7 +99,7 @@ def _near(cand: np.ndarray, places: np.ndarray, offset: int, slop: int) -> np.nd
 
 
 def find(test: TestSet, terms: np.ndarray, bounds: np.ndarray, positions: np.ndarray, slop: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(window, starts of exact matches, places of proximity matches) for the windows of which the shard has anything."""
+    """(window, starts of exact matches, starts of proximity matches) for the windows of which the shard has anything."""
     first, last = np.zeros((2, len(test.vocabulary) + 1), "i4")
     first[terms], last[terms] = bounds[:-1], bounds[1:]
     counts = (last - first)[test.rows]
@@ -107,14 +107,11 @@ def find(test: TestSet, terms: np.ndarray, bounds: np.ndarray, positions: np.nda
     for w in np.flatnonzero(counts.min(axis=1, initial=np.iinfo("i4").max)):
         row, rarest = test.rows[w], np.argsort(counts[w, : test.lengths[w]], kind="stable")
         lists = {k: positions[first[row[k]] : last[row[k]]] for k in rarest}
-        near = lists[rarest[0]] - rarest[0]
+        exact = lists[rarest[0]] - rarest[0]
+        near = np.unique(exact[:, None] + np.arange(-slop, slop + 1, dtype="i4"))
         for k in rarest[1:]:
             if not len(near := _near(near, lists[k], k, slop)):
                 break
-        exact = near
-        for k in rarest[1:]:
-            if not len(exact):
-                break
             exact = _near(exact, lists[k], k, 0)
         if len(near):
             yield w, exact, near
@@ -132,8 +129,9 @@ def search(index: DataFrame, test, key: str, slop: int) -> DataFrame:
                 hits, near = [set() for _ in starts], [set() for _ in starts]
                 spans: list[list[tuple[int, int]]] = [[] for _ in starts]
                 for w, exact, about in find(t, terms, bounds, positions, slop):
-                    for d in np.unique(np.searchsorted(starts, about, "right") - 1).tolist():
-                        near[max(d, 0)].update(t.items[w])
+                    # A start may lie up to slop words before its document; the gap between documents is wider than that.
+                    for d in np.unique(np.searchsorted(starts, about + slop, "right") - 1).tolist():
+                        near[d].update(t.items[w])
                     docs = np.searchsorted(starts, exact, "right") - 1
                     for d, p in zip(docs.tolist(), (exact - starts[docs]).tolist(), strict=True):
                         spans[d].append((p, p + int(t.lengths[w])))

@@ -59,7 +59,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n = F.size("items").cast("long")
     digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
-    return found.select("doc_id", "n_words", "n_hit", n.alias("n_items"), digest.alias("items_sha256"), (n >= 2).alias("contaminated"), F.size("near_items").cast("long").alias("n_near_items"))
+    return found.select("doc_id", "n_words", "n_hit", n.alias("n_items"), digest.alias("items_sha256"), (n >= 2).alias("contaminated"))
 
 
 def queries() -> dict:

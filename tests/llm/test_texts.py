@@ -95,6 +95,19 @@ def contaminated(text, items, window=8):
     return len(w), len(hit), sorted(names)
 
 
+def nearby(text, items, window=8, slop=2):
+    """Names of items of which a window's terms all lie within ``slop`` words of their places from some start."""
+    w, names = tokens(text), set()
+    for name, item in items:
+        x = tokens(item)
+        n = min(window, len(x))
+        for i in range(max(0, len(x) - window) + 1 if x else 0):
+            for p in range(-slop, len(w)):
+                if all(x[i + k] in w[max(0, p + k - slop) : max(0, p + k + slop + 1)] for k in range(n)):
+                    names.add(str(name) if name is not None else "null")
+    return sorted(names)
+
+
 @pytest.mark.parametrize(("words", "bytes_"), [(400_000, 16 << 20), (60, 400)])
 def test_decontamination_equals_brute_force(spark, monkeypatch, words, bytes_):
     monkeypatch.setattr(decontam, "SHARD_WORDS", words), monkeypatch.setattr(decontam, "SLICE_BYTES", bytes_)
@@ -108,8 +121,9 @@ def test_decontamination_equals_brute_force(spark, monkeypatch, words, bytes_):
     out = decontam.decontaminate(d, spark.createDataFrame(items, "item_id long, text string"))
     got = sorted(((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in out.collect()), key=repr)
     assert got == sorted(((k, *contaminated(t, items)) for k, t in docs), key=repr)
-    near = next(r for r in out.collect() if r.doc_id == 105)
-    assert "3" in near["near_items"]
+    short = [x for x in docs if len(x[1] or "") < 2000]
+    assert sorted(((r.doc_id, r.near_items) for r in out.collect() if r.n_words < 500), key=repr) == sorted(((k, nearby(t, items)) for k, t in short), key=repr)
+    assert "3" in next(r for r in out.collect() if r.doc_id == 105)["near_items"]
     assert decontam.decontaminate(d.limit(0), spark.createDataFrame(items, "item_id long, text string")).collect() == []
     assert all(r.n_hit == 0 for r in decontam.decontaminate(d, spark.createDataFrame([], "item_id long, text string")).collect())
 
