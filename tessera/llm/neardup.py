@@ -33,6 +33,8 @@ from tessera.llm.common import Scratch
 N, TREES, DEPTH, ROOT, LEAF = 5, 16, 12, 4, 32
 #: Prefix lengths at which crowded regions are split.
 DEPTHS = (4, 5, 6, 7, 8, 10, 12)
+#: Bits of the filter of texts whose sets are compared: 16 MB.
+BITS = 1 << 27
 _CHUNK = 1 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _SEPARATES = np.zeros(256, bool)
@@ -124,16 +126,33 @@ def _mark(text: str) -> Column:
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
 
-def _sets(docs: DataFrame, text: str, n: int) -> DataFrame:
-    """digest and set, for the rows given."""
+def _bitmap(marks: DataFrame) -> np.ndarray:
+    """BITS bits, of which those at the marks' places are set: a filter of fixed size, however many marks there are."""
+    place = F.pmod(F.xxhash64("mark"), F.lit(BITS))
+    words = marks.groupBy(F.shiftright(place, 6).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))).alias("bits")).toPandas()
+    out = np.zeros(BITS // 64, np.int64)
+    out[words["word"]] = words["bits"]
+    return out
+
+
+def _sets(docs: DataFrame, marks: DataFrame, text: str, n: int) -> DataFrame:
+    """digest and set of the texts with these marks, and of the few others whose marks share their places in the bitmap.
+
+    Texts are not shuffled: each task drops those that no mark can mean and hashes the rest.
+    """
+    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(marks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bitmap.value
         for b in batches:
-            for t in b.column("text"):
-                h = shingles(t.as_py(), n)
-                yield pa.RecordBatch.from_pydict({"digest": pa.array([hashlib.blake2b(h.tobytes(), digest_size=16).digest()], pa.binary()), "set": pa.array([h.view("i8")], pa.list_(pa.int64()))})
+            place = b.column("place").to_numpy()
+            for i in np.flatnonzero((bits[place >> 6] >> (place & 63)) & 1):
+                h = shingles(b.column("text")[int(i)].as_py(), n)
+                if len(h):
+                    yield pa.RecordBatch.from_pydict({"digest": pa.array([hashlib.blake2b(h.tobytes(), digest_size=16).digest()], pa.binary()), "set": pa.array([h.view("i8")], pa.list_(pa.int64()))})
 
-    return docs.select(F.col(text).cast("binary").alias("text")).mapInArrow(run, "digest binary, set array<long>")
+    rows = docs.select(F.pmod(F.xxhash64(_mark(text)), F.lit(BITS)).alias("place"), F.col(text).cast("binary").alias("text"))
+    return rows.mapInArrow(run, "digest binary, set array<long>")
 
 
 def _prefix(tree: Column, depth: Column | int) -> Column:
@@ -205,13 +224,12 @@ def _classes(docs: DataFrame, percent: int, key: str, text: str, n: int) -> tupl
     # Full sets, of the sets that are part of a pair only.
     wanted = scratch.write(pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct(), "wanted")
     marks = scratch.write(profiles.select("mark", "digest").join(wanted, "digest", "left_semi").groupBy("digest").agg(F.min("mark").alias("mark")).select("mark"), "wanted-texts")
-    texts = docs.select(_mark(text).alias("mark"), F.col(text).alias("text")).join(marks, "mark", "left_semi")
-    sets = scratch.write(_sets(texts, "text", n).groupBy("digest").agg(F.first("set").alias("set")), "sets")
-    one = scratch.write(pairs.join(sets.select(F.col("digest").alias("a"), F.col("set").alias("x")), "a"), "half")
+    sets = scratch.write(_sets(docs, marks, text, n).join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("set").alias("set")), "sets")
+    one = pairs.join(sets.select(F.col("digest").alias("a"), F.col("set").alias("x")), "a")
     two = one.join(sets.select(F.col("digest").alias("b"), F.col("set").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
     links = scratch.write(two.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b"), "links")
-    for name in ("half", "sets", "pairs"):
+    for name in ("sets", "pairs"):
         scratch.drop(name)
 
     labels = _components(scratch, links)
