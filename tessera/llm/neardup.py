@@ -7,11 +7,16 @@ hub to each member: the member whose prefixes most sets share, over all trees. A
 every place and so is the hub, which finds in linear work the links that copies have to their origin alone. Every candidate is confirmed on the full sets, and classes are the
 connected components of the confirmed links.
 
+Links of crowded regions that are neither to a hub nor in a leaf (texts that share a template and link in pairs) are found by an exact prefix-filter join over all sets of
+such regions: tokens (shingles) are ordered from the rarest on, two linked sets share one in their prefixes, and its places and both sizes bound their intersection. Only sets that
+are still in different components are joined: of each token the entries of its largest component meet those of others, never each other.
+
 Rows that are equal as sets are one node from the start; a group of copies is reduced by partial aggregation before anything is shuffled by its digest.
-Joins on keys that may be hot are of two written tables, so the adaptive planner can split them. Nothing grows with the square of a group.
+Joins on keys that may be hot are of two written tables, so the adaptive planner can split them. Nothing grows with the square of a group of copies; in the exact join, sets of
+different components that share a token in their prefixes, and whose sizes and places allow a link, are each compared.
 
 Candidates are found with a probability: of two sets that are no part of a crowded region, and of which r in 100 shingles are shared, 1 - (1 - (r/100)**ROOT)**TREES;
-for 85 that is 0.999993, for 80 0.9997. In crowded regions the hubs and the other trees' leaves take the place of pairs.
+for 85 that is 0.999993, for 80 0.9997. Two sets that are both part of crowded regions are in one class whenever they are linked, with certainty.
 
 Defined results: null texts, empty texts and texts without words have no shingles and are linked with nothing; a text of fewer than ``N`` words is one shingle;
 rows that repeat a key are judged each by their own text; a null key never names a class unless all its class's keys are null, and then it is not kept; extra columns are ignored here.
@@ -35,6 +40,8 @@ N, TREES, DEPTH, ROOT, LEAF = 5, 16, 12, 4, 32
 DEPTHS = (4, 5, 6, 7, 8, 10, 12)
 #: Bits of the filter of texts whose sets are compared: 16 MB.
 BITS = 1 << 27
+#: Binary logarithm of the number of cells in which the exact join counts tokens to order them by rarity. Collisions cost time only: any order that all sets share is right.
+CELLS = 21
 _CHUNK = 1 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _SEPARATES = np.zeros(256, bool)
@@ -161,8 +168,8 @@ def _prefix(tree: Column, depth: Column | int) -> Column:
     return F.xxhash64(tree, depth, F.substring(F.col("sig"), tree * (2 * DEPTH) + 1, depth * 2))
 
 
-def _candidates(scratch: Scratch, profiles: DataFrame) -> DataFrame:
-    """Pairs (a, b) of digests, a before b, from leaves and hubs."""
+def _candidates(scratch: Scratch, profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of digests, a before b, from leaves and hubs; and the digests of the sets in crowded regions."""
     trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
     roots = profiles.where("digest IS NOT NULL").select("digest", "sig", trees).select("digest", _prefix(F.col("tree"), ROOT).alias("root"))
     shared = scratch.write(roots.groupBy("root").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi").select("root"), "roots")
@@ -192,21 +199,81 @@ def _candidates(scratch: Scratch, profiles: DataFrame) -> DataFrame:
     crowd = scratch.write(deep.where(F.col("n") > LEAF).select("digest", "region").join(standing, "digest"), "crowd")
     hubs = scratch.write(crowd.groupBy("region").agg(F.max(F.struct("standing", "digest"))["digest"].alias("hub")), "hubs")
     to_hub = crowd.join(hubs, "region").where("digest <> hub").select(F.least("digest", "hub").alias("a"), F.greatest("digest", "hub").alias("b"))
-    return near.unionByName(to_hub).distinct()
+    return near.unionByName(to_hub).distinct(), standing.select("digest")
+
+
+def _entries(sets: DataFrame, percent: int) -> DataFrame:
+    """token, digest, label, size and place of the tokens in each set's prefix: so many of its rarest that every linked set has one of them.
+
+    ``sets``: digest, label and set. A link to a set no larger than this one takes percent in 100 of its tokens at least.
+    """
+    cell = F.shiftrightunsigned("token", 64 - CELLS).cast("int").alias("cell")
+    often = sets.select(F.explode("set").alias("token")).groupBy(cell).agg(F.count(F.lit(1)).alias("n")).where("n > 1").toPandas()
+    counts = np.ones(1 << CELLS, np.int64)
+    counts[often["cell"]] = often["n"]
+    counts = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for digest, label, tokens in zip(b.column("digest"), b.column("label"), b.column("set"), strict=True):
+                t = tokens.values.to_numpy(zero_copy_only=False)
+                size = len(t)
+                n = size - -(-percent * size // 100) + 1
+                first = t[np.lexsort((t, counts.value[t.view("u8") >> _U(64 - CELLS)]))[:n]]
+                yield pa.RecordBatch.from_pydict(
+                    {"token": first, "digest": pa.array([digest.as_py()] * len(first), pa.binary()), "label": pa.array([label.as_py()] * len(first), pa.binary()), "size": np.full(len(first), size), "place": np.arange(len(first))}
+                )
+
+    return sets.select("digest", "label", "set").mapInArrow(run, "token long, digest binary, label binary, size long, place long")
 
 
-def _components(scratch: Scratch, links: DataFrame) -> DataFrame:
+def _missing(scratch: Scratch, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of digests with different labels, among which are all linked ones.
+
+    Of sets of m <= n tokens that are linked, the intersection is at least percent * (m + n) / (100 + percent). Their first common token, at places i and j, has
+    m - i and n - j of each from it on, so both are that at least, and i is among the few first places that a link to a set of the same size needs.
+    """
+    every = scratch.write(_entries(sets, percent), "entries")
+    whole = 100 + percent
+    indexed = F.expr(f"{2 * percent} * size <= {whole} * (size - place)")
+    # Per token: the labels that have it, which of them has it most often, and what sizes its indexed entries can meet.
+    reach = F.max(F.when(indexed, F.expr(f"{whole} * (size - place) div {percent} - size"))).alias("reach")
+    least = F.min(F.when(indexed, F.col("size"))).alias("least")
+    by_label = every.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"), reach, least)
+    tokens = by_label.groupBy("token").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label"))["label"].alias("top"), F.max("reach").alias("reach"), F.min("least").alias("least"))
+    tokens = scratch.write(tokens.where("labels > 1 AND reach IS NOT NULL").drop("labels"), "mixed-tokens")
+    met = every.join(tokens, "token").withColumn("indexed", indexed).withColumn("probes", F.expr(f"size <= reach AND {percent} * (least + size) <= {whole} * (size - place)"))
+    met = scratch.write(met.where("indexed OR probes").select(*every.columns, "indexed", "probes", (F.col("label") == F.col("top")).alias("top")), "met-entries")
+    scratch.drop("entries")
+    small = met.where("indexed").select("token", *[F.col(c).alias(f"{c}_a") for c in ("digest", "label", "size", "place", "top")])
+    large = met.where("probes").select("token", *[F.col(c).alias(f"{c}_b") for c in ("digest", "label", "size", "place", "top")])
+    fits = F.expr(
+        f"label_a <> label_b AND (size_a < size_b OR size_a = size_b AND digest_a < digest_b) AND {percent} * (size_a + size_b) <= {whole} * (size_a - place_a) AND {percent} * (size_a + size_b) <= {whole} * (size_b - place_b)"
+    )
+    rest, top = small.where("NOT top_a").join(large, "token").where(fits), small.where("top_a").join(large.where("NOT top_b"), "token").where(fits)
+    return rest.unionByName(top).select(F.least("digest_a", "digest_b").alias("a"), F.greatest("digest_a", "digest_b").alias("b")).distinct()
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that are linked."""
+    one = pairs.join(sets.select(F.col("digest").alias("a"), F.col("set").alias("x")), "a")
+    two = one.join(sets.select(F.col("digest").alias("b"), F.col("set").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    return two.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
+
+
+def _components(scratch: Scratch, links: DataFrame, name: str = "") -> DataFrame:
     """node and label (the least node that it reaches) of the links' ends: labels spread along links and jump to their label's label until none changes."""
-    both = scratch.write(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "both")
-    labels = scratch.write(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")), "labels-0")
+    both = scratch.write(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), f"{name}both")
+    labels = scratch.write(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")), f"{name}labels-0")
     for k in range(1, 200):
         heard = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "label")
-        spread = scratch.write(heard.unionByName(labels).groupBy("node").agg(F.min("label").alias("label")), f"spread-{k}")
+        spread = scratch.write(heard.unionByName(labels).groupBy("node").agg(F.min("label").alias("label")), f"{name}spread-{k}")
         goal = spread.select(F.col("node").alias("label"), F.col("label").alias("goal"))
-        new = scratch.write(spread.join(goal, "label").select("node", F.col("goal").alias("label")), f"labels-{k}")
+        new = scratch.write(spread.join(goal, "label").select("node", F.col("goal").alias("label")), f"{name}labels-{k}")
         moved = new.join(labels.select("node", F.col("label").alias("was")), "node").where("label <> was").limit(1).count()
-        scratch.drop(f"spread-{k}")
-        scratch.drop(f"labels-{k - 1}")
+        scratch.drop(f"{name}spread-{k}")
+        scratch.drop(f"{name}labels-{k - 1}")
         labels = new
         if not moved:
             return labels
@@ -219,20 +286,38 @@ def _classes(docs: DataFrame, percent: int, key: str, text: str, n: int) -> tupl
     scratch = Scratch(spark, "neardup")
     profiles = scratch.write(_profiles(docs, key, text, n), "profiles")
     firsts = scratch.write(profiles.where("digest IS NOT NULL").groupBy("digest").agg(F.min("key").alias("first")), "firsts")
-    pairs = scratch.write(_candidates(scratch, profiles), "pairs")
+    pairs, crowded = _candidates(scratch, profiles)
+    pairs = scratch.write(pairs, "pairs")
+    for name in ("roots", "met", "nodes", "root-sizes", "crowded", "crowded-sizes", "crowded-sized", "leaves", "crowd", "hubs"):
+        scratch.drop(name)
 
     # Full sets, of the sets that are part of a pair only.
     wanted = scratch.write(pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct(), "wanted")
     marks = scratch.write(profiles.select("mark", "digest").join(wanted, "digest", "left_semi").groupBy("digest").agg(F.min("mark").alias("mark")).select("mark"), "wanted-texts")
     sets = scratch.write(_sets(docs, marks, text, n).join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("set").alias("set")), "sets")
-    one = pairs.join(sets.select(F.col("digest").alias("a"), F.col("set").alias("x")), "a")
-    two = one.join(sets.select(F.col("digest").alias("b"), F.col("set").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    links = scratch.write(two.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b"), "links")
-    for name in ("sets", "pairs"):
-        scratch.drop(name)
-
+    links = scratch.write(_confirmed(pairs, sets, percent), "links")
+    scratch.drop("pairs")
     labels = _components(scratch, links)
+
+    # What leaves and hubs have missed in crowded regions joins components.
+    if not crowded.isEmpty():
+        label = F.coalesce("label", "digest").alias("label")
+        busy = sets.join(crowded, "digest", "left_semi").join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("digest", label, "set")
+        busy = scratch.write(busy, "busy")
+        missing = scratch.write(_missing(scratch, busy, percent), "missing")
+        for name in ("mixed-tokens", "met-entries"):
+            scratch.drop(name)
+        of = busy.select("digest", "label")
+        found = _confirmed(missing, busy, percent).join(of.select(F.col("digest").alias("a"), F.col("label").alias("la")), "a").join(of.select(F.col("digest").alias("b"), F.col("label").alias("lb")), "b")
+        found = scratch.write(found.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "found")
+        if not found.isEmpty():
+            joined = _components(scratch, found, "joined-").select(F.col("node").alias("label"), F.col("label").alias("joined"))
+            singles = found.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("label"))
+            labels = labels.unionByName(singles.join(labels, "node", "left_anti"))
+            labels = scratch.write(labels.join(joined, "label", "left").select("node", F.coalesce("joined", "label").alias("label")), "joined")
+        for name in ("busy", "missing"):
+            scratch.drop(name)
+    scratch.drop("sets")
     named = firsts.join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "first", F.coalesce("label", "digest").alias("label"))
     return scratch, profiles, scratch.write(named, "named")
 

@@ -78,6 +78,26 @@ def test_representatives(spark):
     assert neardup.classes(docs.limit(0)).collect() == [] and neardup.representatives(docs.limit(0)).collect() == []
 
 
+def template_family(pairs, own):
+    """Texts of one long template in pairs: partners share some words more, and only they are linked."""
+    rnd = random.Random(7)
+    fresh = lambda n: [f"w{rnd.getrandbits(40):x}" for _ in range(n)]
+    template, rows = fresh(300), []
+    for _ in range(pairs):
+        shared = fresh(11 + rnd.randrange(3))
+        rows += [(len(rows) + k, " ".join(template + shared + fresh(own + rnd.randrange(3)))) for k in range(2)]
+    return rows
+
+
+@pytest.mark.parametrize(("percent", "own"), [(85, 22), (80, 32)])
+def test_template_family_equals_all_pairs(spark, percent, own):
+    rows = template_family(120, own)
+    found = components(rows, percent)
+    assert sum(c[0] != c[2] for c in found) == 120
+    out = [(r.doc_id, r.n_shingles, r.component_id) for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), percent).collect()]
+    assert sorted(out) == sorted(c[:3] for c in found)
+
+
 def tokens(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 
