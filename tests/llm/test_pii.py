@@ -162,3 +162,19 @@ def test_equal_values_stay_linked(spark):
     rows = spark.createDataFrame([(1, "a 4111 1111 1111 1111"), (2, "b 4111-1111-1111-1111 c 4111111111111111")], "doc_id int, text string")
     found = {re.sub("[^0-9]", "", x) for r in pii.pseudonymise(rows).collect() for x in re.findall("[0-9][0-9 -]{14,}[0-9]", r.text)}
     assert len(found) == 1 and found != {"4111111111111111"}
+
+
+def test_long_values_are_replaced_whole(spark):
+    rnd = random.Random(3)
+    word = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    values = ["token=" + word(300), "secret=" + word(20_000), word(90) + "@" + ".".join(word(5) for _ in range(12)) + ".example.com", "a.b@" + word(80) + ".org", "a@b." + "q" * 30, "+44 20 7946 0958." + word(70) + "@x.com", "(202) 555-1015bob@x.com"]
+    texts = [f"see {v} end" for v in values] + ["a@b..com a@.b.com a@b.com.1 a@b.com.x@y.org"]
+    out = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()
+    assert [(r.text, r.kinds) for r in sorted(out)] == [brute(t, "k") for t in texts]
+    kept = lambda v, t: max((n for n in range(6, 30) if any(v[i : i + n] in t for i in range(v.find("=") + 1, len(v) - n - 12))), default=0)
+    assert [kept(v, r.text) for v, r in zip(values[:3], sorted(out))] == [0, 0, 0]
+
+
+def test_long_runs_take_linear_time(spark):
+    text = "x" + "a1" * 300_000 + " a@" + "b." * 20_000
+    assert pii.pseudonymise(spark.createDataFrame([(1, text)], "doc_id int, text string")).first().text == text
