@@ -49,7 +49,7 @@ PATTERNS = {
 #: All of them. An e-mail's match begins where a run of local characters does or the match before it ended, so only these places are tried, and long runs take linear time.
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values()).replace(f"(?:{_LOCAL}+@", rf"(?:(?:(?<!{_LOCAL})|\G){_LOCAL}++@", 1)
 #: Every match of a pattern has one of these; a text without any is passed on untouched.
-_HAS = r"[0-9@=]"
+_HAS = r"[0-9@=]|AKIA|[a-f]{40}"
 
 
 def _prf(key: str, domain: Column | str, i: Column, x: Column) -> Column:
