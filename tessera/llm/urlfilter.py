@@ -5,7 +5,7 @@ Each capture yields its keys, which are its host, the host's parent domains, and
 ``valid_from <= fetched_at < valid_to`` evaluates it against the entries active when it was fetched. Of its active entries the most specific (longest pattern)
 decides, ``allow`` before ``block`` where two are equally specific; a capture with none is kept.
 
-Keys are few per capture and bounded (``MOST_LABELS`` labels, ``MOST_SEGMENTS`` segments; deeper parts can't be named by a pattern). Distinct sets of keys are
+Keys are few per capture: they go as deep as the lists' own patterns do, in labels and in path segments, so each entry can match. Distinct sets of keys are
 reduced before the lists are joined, and what they match is a written table, which Spark broadcasts only within its own threshold; beyond it the join
 with the captures is one of two scans, whose hot keys the adaptive planner splits.
 
@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch
 
-MOST_LABELS, MOST_SEGMENTS = 8, 4
 RESULTS = ("verdict", "rule_list", "rule_pattern", "rule_since", "n_active")
 #: Production lists: (list, effect, pattern, action, day). A pattern is a domain (and all below it), or a host and path prefix.
 ENTRIES = (
@@ -60,20 +59,27 @@ def intervals(listed: DataFrame) -> DataFrame:
     return spells.where("e.action = 'add'").select("list", F.col("e.effect").alias("effect"), "pattern", F.col("since").alias("valid_from"), "valid_to")
 
 
-def keys(url: Column) -> Column:
-    """The keys by which lists can name a URL: host, parent domains, and host or parent with up to ``MOST_SEGMENTS`` leading path segments."""
+def keys(url: Column, most_labels: int, most_segments: int) -> Column:
+    """The keys by which lists can name a URL: host and parent domains of up to ``most_labels`` labels, each also with up to ``most_segments`` leading path segments."""
     found = F.regexp_extract(F.lower(F.trim(url)), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)(?::[0-9]*)?(/[^?#]*)?", 1)
     path = F.regexp_extract(F.lower(F.trim(url)), r"^[a-z][a-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
     labels = F.split(F.rtrim(found, F.lit(".")), r"\.")
-    count = F.least(F.size(labels), F.lit(MOST_LABELS))
+    count = F.least(F.size(labels), F.lit(most_labels))
     domains = F.transform(F.sequence(F.lit(1), count), lambda n: F.array_join(F.slice(labels, -n, n), "."))
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    depth = F.least(F.size(segments), F.lit(MOST_SEGMENTS))
+    depth = F.least(F.size(segments), F.lit(most_segments))
     prefixes = F.concat(F.array(F.lit("")), F.when(depth > 0, F.transform(F.sequence(F.lit(1), depth), lambda n: F.concat(F.lit("/"), F.array_join(F.slice(segments, 1, n), "/")))).otherwise(F.array().cast("array<string>")))
     every = F.flatten(F.transform(domains, lambda d: F.transform(prefixes, lambda p: F.concat(d, p))))
     return F.when(found != "", F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
 
 
+def _depths(spells: DataFrame) -> tuple[int, int]:
+    """The most labels and the most path segments that a pattern has."""
+    host, path = F.substring_index("pattern", "/", 1), F.split("pattern", "/")
+    most = spells.agg(F.max(F.size(F.split(host, r"\."))), F.max(F.size(path) - 1)).first()
+    return most[0] or 1, most[1] or 0
+
+
 def evaluate(captures: DataFrame, listed: DataFrame, url: str = "url", fetched: str = "fetched_at") -> DataFrame:
     """``captures`` with verdict (keep or block), rule_list, rule_pattern and rule_since of the entry that decides, and n_active (entries active at fetch time)."""
     spells = intervals(listed)
@@ -82,7 +88,7 @@ def evaluate(captures: DataFrame, listed: DataFrame, url: str = "url", fetched:
     spell = F.struct("valid_from", "valid_to", "list", "effect", "pattern")
     by_key = spells.groupBy(F.col("pattern").alias("_key")).agg(F.array_sort(F.collect_list(spell)).alias("_spells"))
     # A URL's own keys decide; the distinct sets of keys are few beside the captures, and are what is joined and put together again.
-    rows = captures.select(*kept, keys(F.col(url)).alias("_keys"), F.col(fetched).alias("_at"))
+    rows = captures.select(*kept, keys(F.col(url), *_depths(spells)).alias("_keys"), F.col(fetched).alias("_at"))
     sets = rows.select("_keys").distinct().where(F.size("_keys") > 0)
     found = sets.select("_keys", F.explode("_keys").alias("_key")).join(by_key, "_key").groupBy("_keys").agg(F.flatten(F.collect_list("_spells")).alias("_spells"))
     found = Scratch(captures.sparkSession, "urlfilter").write(found, "found")

@@ -108,3 +108,12 @@ def test_rendezvous_equals_brute_force(spark):
     for r in sharding.assign(docs, weights=weights).collect():
         assert r.shard == min(bid(r.doc_id, s, w) for s, w in enumerate(weights))[1]
         assert r.grown_shard == min(bid(r.doc_id, s, w) for s, w in enumerate([*weights, 1.0]))[1]
+
+
+def test_deep_url_patterns(spark):
+    host = "a.b.c.d.e.f.g.h.i.example"
+    rows = [("l", "block", host, "add", "2024-01-01"), ("l", "block", "deep.example/1/2/3/4/5/6", "add", "2024-01-01")]
+    urls = [f"http://{host}/", f"http://z.{host}/q", "http://b.c.d.e.f.g.h.i.example/", "http://deep.example/1/2/3/4/5/6/7", "http://deep.example/1/2/3/4/5"]
+    captures = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id int, url string").withColumn("fetched_at", F.expr("TIMESTAMP_NTZ '2024-02-01 00:00:00'"))
+    out = urlfilter.evaluate(captures, urlfilter.entries(spark, rows)).collect()
+    assert [r.verdict for r in sorted(out)] == ["block", "block", "keep", "block", "keep"]
