@@ -1,14 +1,23 @@
-"""What the corpus operators share: tables, scratch storage and hash folds."""
+"""What the corpus operators share: tables, scratch storage, bitmaps of keys, word hashes and hash folds."""
 
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bits of a filter of keys: 16 MB, however many keys there are.
+BITS = 1 << 27
+#: Spark's own switch by which a statement's shuffle files go when it ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables."""
@@ -16,22 +25,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` of the session, or, only where that is unset (tests), a local one set here."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        found = tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(found)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found
+    """The folder that all executors share: ``spark.checkpoint.dir`` of the session. Where it is unset, a session on one machine gets a local one, and a cluster an error."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 class Scratch:
-    """Parquet tables in a folder of their own below :func:`shared_dir`, removed when the driver ends.
+    """Parquet tables in a folder of their own below :func:`shared_dir`, removed when the driver ends if they weren't before.
 
-    A written table cuts lineage, and an executor that is lost later takes none of it along.
+    A written table cuts lineage, and an executor that is lost later takes none of it along. The shuffle files of what wrote a table go with the statement.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -40,15 +49,21 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """The same rows, read back."""
-        path = f"{self.root}/{name}"
-        df.write.parquet(path)
+        path, conf = f"{self.root}/{name}", self.spark.conf
+        was = conf.get(_CLEAN, "false")
+        conf.set(_CLEAN, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.set(_CLEAN, was)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str = "") -> None:
-        """Removes one table, or all."""
+    def drop(self, *names: str) -> None:
+        """Removes tables, or, without names, all of them."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for name in names or ("",):
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     def clear(self) -> None:
         try:
@@ -57,6 +72,52 @@ class Scratch:
             pass
 
 
+def place(*columns: Column | str) -> Column:
+    """Where a key's bit stands in a :func:`bitmap`."""
+    return F.pmod(F.xxhash64(*columns), F.lit(BITS))
+
+
+def bitmap(places: Column, rows: DataFrame) -> np.ndarray:
+    """BITS bits, of which those at the rows' places are set: a filter of fixed size, however many rows there are."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))
+    words = rows.select(places.alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    out = np.zeros(BITS // 64, np.int64)
+    out[words["word"]] = words["bits"]
+    return out
+
+
+def marked(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Whether the bits at these places are set."""
+    return (bits[places >> 6] >> (places & 63)) & 1 == 1
+
+
+def without(rows: DataFrame, gone: DataFrame, on: Sequence[str]) -> DataFrame:
+    """The rows of ``rows`` of which no row of ``gone`` (a written table) has the same values of ``on``, where null equals null.
+
+    Rows are not shuffled by their key: a bitmap of all of ``gone``'s keys lets through at once every row that it can't mean, and only the others, which are as many as
+    ``gone`` means and few more, go to the join that decides. ``rows`` is read twice for that.
+    """
+    held, flag = rows.sparkSession.sparkContext.broadcast(bitmap(place(*on), gone)), unused("maybe", rows)
+
+    @F.pandas_udf("boolean")
+    def maybe(places: pd.Series) -> pd.Series:
+        return pd.Series(marked(held.value, places.to_numpy()))
+
+    flagged = rows.withColumn(flag, maybe(place(*[F.col(f"`{c}`") for c in on])))
+    named = gone.select(*[F.col(c).alias(f"{flag}_{c}") for c in on])
+    same = [F.col(f"`{c}`").eqNullSafe(F.col(f"{flag}_{c}")) for c in on]
+    doubtful = flagged.where(F.col(flag)).join(named, [*same], "left_anti")
+    return flagged.where(~F.col(flag)).unionByName(doubtful).drop(flag)
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, made from ``name``."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -65,3 +126,39 @@ def lower_ascii(text: Column) -> Column:
 def held_out(doc_id: Column) -> Column:
     """Whether a row is of the fold that no label may be learnt from. A null id is held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(True))
+
+
+# Hashes of words, a numpy pass over a text's bytes ---------------------------------------------------------------------------------------------------------
+
+U = np.uint64
+BASE = U(0x9E3779B97F4A7C15)
+_powers = [np.ones(1, U), np.ones(1, U)]
+
+
+def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse, modulo 2**64."""
+    if len(_powers[0]) < n:
+        inverse = U(pow(int(BASE), -1, 1 << 64))
+        for k, b in enumerate((BASE, inverse)):
+            x = np.full(n, b, U)
+            x[0] = 1
+            _powers[k] = np.multiply.accumulate(x)
+    return _powers[0][:n], _powers[1][:n]
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit values that spreads every bit (the finaliser of SplitMix64)."""
+    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+    return x ^ (x >> U(31))
+
+
+def word_hashes(raw: bytes, separates: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word: a polynomial of its bytes by differences of a running sum, mixed. ``separates``: of each byte, whether it stands between words."""
+    b = np.frombuffer(raw, np.uint8)
+    gap = np.concatenate(([True], separates[b], [True]))
+    edges = np.flatnonzero(gap[1:] != gap[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    power, inverse = _pow(len(b))
+    sums = np.concatenate((np.zeros(1, U), np.cumsum((b.astype(U) + U(1)) * power)))
+    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U))

@@ -1,25 +1,25 @@
 """Near-duplicate classes by a MinHash LSH forest, confirmed on full shingle sets.
 
-Each different shingle set has ``TREES`` signatures of ``DEPTH`` MinHash values. A tree is the order of all sets by one signature; sets that agree on a
-prefix form a region, a contiguous run of that order. Depth adapts to the region: from ``ROOT`` values on, a set goes to the shallowest prefix that at most
-``LEAF`` sets share, and its longest-common-prefix neighbours, which are the rest of that leaf, are its candidates. A region that more sets share also proposes its
-hub to each member: the member whose prefixes most sets share, over all trees. A text from which many copies were made has the commonest value at almost
-every place and so is the hub, which finds in linear work the links that copies have to their origin alone. Every candidate is confirmed on the full sets, and classes are the
-connected components of the confirmed links.
+Each different shingle set has ``TREES`` signatures of ``DEPTH`` MinHash values. A tree of the forest is the order of all sets by one signature: each is sorted over range partitions,
+so sets that agree on a prefix stand next to each other, as a region of that order. A region begins where neighbours have ``ROOT`` values in common.
 
-Links of crowded regions that are neither to a hub nor in a leaf (texts that share a template and link in pairs) are found by an exact prefix-filter join over all sets of
-such regions: tokens (shingles) are ordered from the rarest on, two linked sets share one in their prefixes, and its places and both sizes bound their intersection. Only sets that
-are still in different components are joined: of each token the entries of its largest component meet those of others, never each other.
+1. Each region proposes its hub to its members: the member that most sets share prefixes with, over all depths and trees. A text from which many copies were made has
+   the commonest value at almost every place and so is the hub, which finds in linear work the links that copies have to their origin.
+2. In regions that hold different components then, depth adapts: a set goes to the shallowest prefix that at most ``LEAF`` sets share, and its longest-common-prefix
+   neighbours there, if they are of another component, are its candidates.
+3. Sets of regions that more than ``LEAF`` sets share and that still hold different components are joined exactly, by a prefix filter: tokens (shingles) are ordered from the rarest on, two
+   linked sets share one in their prefixes, and its places, both sizes and sketches of both sets bound their intersection. Of each token the entries of its largest component meet those of others, never each other.
 
-Rows that are equal as sets are one node from the start; a group of copies is reduced by partial aggregation before anything is shuffled by its digest.
-Joins on keys that may be hot are of two written tables, so the adaptive planner can split them. Nothing grows with the square of a group of copies; in the exact join, sets of
-different components that share a token in their prefixes, and whose sizes and places allow a link, are each compared.
+Candidates are confirmed on the full sets after each step, and classes are the connected components of the confirmed links. Rows that are equal as sets are one node from
+the start; a group of copies is reduced by partial aggregation before anything is shuffled by its digest. Joins on keys that may be hot are of two shuffled sides, which the adaptive
+planner can split. Nothing grows with the square of a group of copies; only in step 3 sets of different components that share a token in their prefixes, and whose sizes, places and sketches allow a link, are each compared.
 
-Candidates are found with a probability: of two sets that are no part of a crowded region, and of which r in 100 shingles are shared, 1 - (1 - (r/100)**ROOT)**TREES;
-for 85 that is 0.999993, for 80 0.9997. Two sets that are both part of crowded regions are in one class whenever they are linked, with certainty.
+Two sets that share a region in any tree are in one class whenever they are linked, with certainty. That they share one has a probability: of sets of which r in 100 shingles
+are shared, 1 - (1 - (r/100)**ROOT)**TREES; for 85 that is 0.999993, for 80 0.9997.
 
 Defined results: null texts, empty texts and texts without words have no shingles and are linked with nothing; a text of fewer than ``N`` words is one shingle;
-rows that repeat a key are judged each by their own text; a null key never names a class unless all its class's keys are null, and then it is not kept; extra columns are ignored here.
+rows that repeat a key are judged each by their own text; a null key never names a class unless all its class's keys are null, and then it is not kept; extra columns, whatever their names, are ignored by
+:func:`classes` and passed through by :func:`representatives`.
 """
 
 from __future__ import annotations
@@ -30,57 +30,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch
+from tessera.llm.common import BASE, BITS, Scratch, U, bitmap, marked, mix, place, unused, without, word_hashes
 
 N, TREES, DEPTH, ROOT, LEAF = 5, 16, 12, 4, 32
-#: Prefix lengths at which crowded regions are split.
-DEPTHS = (4, 5, 6, 7, 8, 10, 12)
-#: Bits of the filter of texts whose sets are compared: 16 MB.
-BITS = 1 << 27
 #: Binary logarithm of the number of cells in which the exact join counts tokens to order them by rarity. Collisions cost time only: any order that all sets share is right.
 CELLS = 21
+#: Words of 64 bits of a sketch of a set.
+WORDS = 32
+#: Entries of a token that one task meets with all others of that token.
+BLOCK = 2048
 _CHUNK = 1 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _SEPARATES = np.zeros(256, bool)
 _SEPARATES[[0x20, 9, 10, 11, 12, 13]] = True
-_U = np.uint64
-_BASE = _U(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(20240229)
 _XOR = _RNG.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32)
 _MUL = _RNG.integers(0, 1 << 31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_powers = [np.ones(1, _U), np.ones(1, _U)]
-
-
-def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse, modulo 2**64."""
-    if len(_powers[0]) < n:
-        inverse = _U(pow(int(_BASE), -1, 1 << 64))
-        for k, b in enumerate((_BASE, inverse)):
-            x = np.full(n, b, _U)
-            x[0] = 1
-            _powers[k] = np.multiply.accumulate(x)
-    return _powers[0][:n], _powers[1][:n]
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit values that spreads every bit (the finaliser of SplitMix64)."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-def _word_hashes(raw: bytes) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial of its bytes by differences of a running sum, mixed."""
-    b = np.frombuffer(raw, np.uint8)
-    gap = np.concatenate(([True], _SEPARATES[b], [True]))
-    edges = np.flatnonzero(gap[1:] != gap[:-1])
-    starts, ends = edges[::2], edges[1::2]
-    power, inverse = _pow(len(b))
-    sums = np.concatenate((np.zeros(1, _U), np.cumsum((b.astype(_U) + _U(1)) * power)))
-    return _mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(_U))
 
 
 def shingles(text: str | bytes | None, n: int = N) -> np.ndarray:
@@ -90,21 +58,21 @@ def shingles(text: str | bytes | None, n: int = N) -> np.ndarray:
     while at < len(raw):
         cut = _SPACE.search(raw, at + _CHUNK)
         end = cut.start() if cut else len(raw)
-        found.append(_word_hashes(raw[at:end]))
+        found.append(word_hashes(raw[at:end], _SEPARATES))
         at = end
-    w = np.concatenate(found) if found else np.zeros(0, _U)
+    w = np.concatenate(found) if found else np.zeros(0, U)
     if not len(w):
         return w
     k = min(n, len(w))
-    h = np.full(len(w) - k + 1, k, _U)
+    h = np.full(len(w) - k + 1, k, U)
     for i in range(k):
-        h = h * _BASE + w[i : len(w) - k + 1 + i]
-    return np.unique(_mix(h))
+        h = h * BASE + w[i : len(w) - k + 1 + i]
+    return np.unique(mix(h))
 
 
 def signature(h: np.ndarray) -> bytes:
     """TREES * DEPTH MinHash values of 16 bits, tree by tree."""
-    x, least = (h >> _U(32)).astype(np.uint32), np.full(TREES * DEPTH, 0xFFFFFFFF, np.uint32)
+    x, least = (h >> U(32)).astype(np.uint32), np.full(TREES * DEPTH, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(x), 512):
         np.minimum(least, ((x[at : at + 512, None] ^ _XOR) * _MUL).min(axis=0), out=least)
     # The low bits of a least value tell sets apart best: its high bits are almost all zero.
@@ -133,73 +101,116 @@ def _mark(text: str) -> Column:
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
 
-def _bitmap(marks: DataFrame) -> np.ndarray:
-    """BITS bits, of which those at the marks' places are set: a filter of fixed size, however many marks there are."""
-    place = F.pmod(F.xxhash64("mark"), F.lit(BITS))
-    words = marks.groupBy(F.shiftright(place, 6).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))).alias("bits")).toPandas()
-    out = np.zeros(BITS // 64, np.int64)
-    out[words["word"]] = words["bits"]
-    return out
-
-
 def _sets(docs: DataFrame, marks: DataFrame, text: str, n: int) -> DataFrame:
     """digest and set of the texts with these marks, and of the few others whose marks share their places in the bitmap.
 
     Texts are not shuffled: each task drops those that no mark can mean and hashes the rest.
     """
-    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(marks))
+    held = docs.sparkSession.sparkContext.broadcast(bitmap(place("mark"), marks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmap.value
         for b in batches:
-            place = b.column("place").to_numpy()
-            for i in np.flatnonzero((bits[place >> 6] >> (place & 63)) & 1):
+            for i in np.flatnonzero(marked(held.value, b.column("place").to_numpy())):
                 h = shingles(b.column("text")[int(i)].as_py(), n)
                 if len(h):
                     yield pa.RecordBatch.from_pydict({"digest": pa.array([hashlib.blake2b(h.tobytes(), digest_size=16).digest()], pa.binary()), "set": pa.array([h.view("i8")], pa.list_(pa.int64()))})
 
-    rows = docs.select(F.pmod(F.xxhash64(_mark(text)), F.lit(BITS)).alias("place"), F.col(text).cast("binary").alias("text"))
+    rows = docs.select(place(_mark(text)).alias("place"), F.col(text).cast("binary").alias("text"))
     return rows.mapInArrow(run, "digest binary, set array<long>")
 
 
-def _prefix(tree: Column, depth: Column | int) -> Column:
-    """The region of a tree in which a signature lies at a depth."""
-    depth = F.lit(depth) if isinstance(depth, int) else depth
-    return F.xxhash64(tree, depth, F.substring(F.col("sig"), tree * (2 * DEPTH) + 1, depth * 2))
-
-
-def _candidates(scratch: Scratch, profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of digests, a before b, from leaves and hubs; and the digests of the sets in crowded regions."""
-    trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
-    roots = profiles.where("digest IS NOT NULL").select("digest", "sig", trees).select("digest", _prefix(F.col("tree"), ROOT).alias("root"))
-    shared = scratch.write(roots.groupBy("root").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi").select("root"), "roots")
-    met = scratch.write(roots.join(shared, "root", "left_semi").select("digest").distinct(), "met")
-    nodes = scratch.write(profiles.select("digest", "sig").join(met, "digest", "left_semi").groupBy("digest").agg(F.max("sig").alias("sig")), "nodes")
-
-    # Regions at the root: how many sets share each.
-    members = nodes.select("digest", "sig", trees).withColumn("region", _prefix(F.col("tree"), ROOT))
-    size = F.count(F.lit(1)).alias("n")
-    counts = scratch.write(members.groupBy("region").agg(size).where("n > 1"), "root-sizes")
-    sized = members.join(counts, "region")
-    leaves = sized.where(F.col("n") <= LEAF).select("digest", "region")
-
-    # Crowded regions: the same at each further depth; the shallowest prefix that few enough sets share is a set's leaf.
-    depths = F.explode(F.array(*[F.lit(d) for d in DEPTHS])).alias("depth")
-    deep = sized.where(F.col("n") > LEAF).select("digest", "sig", "tree", depths).select("digest", "tree", "depth", _prefix(F.col("tree"), F.col("depth")).alias("region"))
-    deep = scratch.write(deep, "crowded")
-    deep_counts = scratch.write(deep.groupBy("region").agg(size), "crowded-sizes")
-    deep = scratch.write(deep.join(deep_counts, "region"), "crowded-sized")
-    own = deep.where(F.col("n") <= LEAF).groupBy("digest", "tree").agg(F.min(F.struct("depth", "region", "n")).alias("leaf")).where("leaf.n > 1")
-    leaves = scratch.write(leaves.unionByName(own.select("digest", F.col("leaf.region").alias("region"))), "leaves")
-    other = leaves.select("region", F.col("digest").alias("other"))
-    near = leaves.join(other, "region").where("digest < other").select(F.col("digest").alias("a"), F.col("other").alias("b"))
-
-    # Hubs: a set's standing is how many sets share its prefixes, over all trees and depths.
-    standing = scratch.write(deep.groupBy("digest").agg(F.sum("n").alias("standing")), "standing")
-    crowd = scratch.write(deep.where(F.col("n") > LEAF).select("digest", "region").join(standing, "digest"), "crowd")
-    hubs = scratch.write(crowd.groupBy("region").agg(F.max(F.struct("standing", "digest"))["digest"].alias("hub")), "hubs")
-    to_hub = crowd.join(hubs, "region").where("digest <> hub").select(F.least("digest", "hub").alias("a"), F.greatest("digest", "hub").alias("b"))
-    return near.unionByName(to_hub).distinct(), standing.select("digest")
+def _fixed(column: pa.Array, width: int) -> np.ndarray:
+    """A column of binary values of one length as rows of bytes."""
+    column = column.cast(pa.binary(width))
+    return np.frombuffer(column.buffers()[1], np.uint8)[column.offset * width : (column.offset + len(column)) * width].reshape(-1, width)
+
+
+def _common(keys: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """How many leading values neighbours have in common (none if their keys differ), for all rows but the first."""
+    same = np.logical_and.accumulate(parts[1:] == parts[:-1], axis=1).sum(axis=1)
+    return np.where(keys[1:] == keys[:-1], same, 0)
+
+
+def _runs(common: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the number of its run of neighbours that agree at a depth, and that run's length."""
+    run = np.concatenate(([0], np.cumsum(common < depth)))
+    return run, np.bincount(run)[run]
+
+
+def _regions(profiles: DataFrame) -> DataFrame:
+    """digest, region, part (the signature in that tree) and weight (prefixes shared, over all depths) of each set in each of its trees where it may share a region.
+
+    A row whose neighbour is in another partition counts as one that shares a region; where it doesn't, it is alone there and does no harm.
+    """
+    nodes = profiles.where("digest IS NOT NULL").groupBy("digest").agg(F.first("sig").alias("sig"))
+    parts = F.array(*[F.substring("sig", 2 * DEPTH * t + 1, 2 * DEPTH) for t in range(TREES)])
+    trees = nodes.select("digest", F.posexplode(parts).alias("tree", "part"))
+    order = ["tree", "part", "digest"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for b in (*(b for b in batches if b.num_rows), None):
+            if last is not None and b is not None:
+                rows = pa.Table.from_batches([last, b]).combine_chunks().to_batches()[0]
+            else:
+                rows = b if last is None else last
+            if rows is None:
+                return
+            tree, raw = rows.column("tree").to_numpy(), np.ascontiguousarray(_fixed(rows.column("part"), 2 * DEPTH))
+            common = _common(tree, raw.view("<u2"))
+            left, right = np.concatenate(([ROOT if last is None else first], common)), np.concatenate((common, [ROOT]))
+            done = slice(0, len(tree) - (b is not None))  # the last row waits for its right neighbour
+            keep = np.flatnonzero(np.maximum(left, right)[done] >= ROOT)
+            weight = sum(_runs(common, d)[1] for d in range(ROOT, DEPTH + 1))
+            region = mix(raw[:, : 2 * ROOT].copy().view("<u8")[:, 0] ^ (tree.astype(U) + U(1)) * BASE)
+            kept = rows.take(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([kept.column("digest"), pa.array(region[keep].view("i8")), kept.column("part"), pa.array(weight[keep].astype("i8"))], ["digest", "region", "part", "weight"])
+            first, last = left[-1], rows.slice(len(tree) - 1) if b is not None else None
+
+    return trees.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "digest binary, region long, part binary, weight long")
+
+
+def _to_hubs(regions: DataFrame) -> DataFrame:
+    """Pairs (a, b) of digests, a before b: each set and the hub of its region."""
+    standing = F.sum("weight").over(Window.partitionBy("digest")).alias("standing")
+    members = regions.select("region", "digest", standing)
+    hubs = members.groupBy("region").agg(F.max(F.struct("standing", "digest"))["digest"].alias("hub"))
+    return members.join(hubs, "region").where("digest <> hub").select(F.least("digest", "hub").alias("a"), F.greatest("digest", "hub").alias("b")).distinct()
+
+
+def _mixed(regions: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of regions that hold different components, with label and n, the region's number of sets. ``labels``: (node, label); a set that it lacks is its own."""
+    rows = regions.join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("region", "digest", "part", F.coalesce("label", "digest").alias("label"))
+    sizes = rows.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("region", "n")
+    return rows.join(sizes, "region")
+
+
+def _neighbours(mixed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of digests of different components that share a leaf: in regions of at most LEAF sets all, in others those of the shallowest prefix that so few sets share."""
+    few = mixed.where(F.col("n") <= LEAF).select("region", "digest", "label")
+    other = few.select("region", F.col("digest").alias("other"), F.col("label").alias("its"))
+    small = few.join(other, "region").where("digest < other AND label <> its").select(F.col("digest").alias("a"), F.col("other").alias("b"))
+    order = ["region", "part", "digest"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows < 2:
+                continue
+            raw, label = np.ascontiguousarray(_fixed(b.column("part"), 2 * DEPTH)), b.column("label").dictionary_encode().indices.to_numpy()
+            common = _common(b.column("region").to_numpy(), raw.view("<u2"))
+            leaf = np.full(len(label), -1)
+            for d in range(ROOT, DEPTH + 1):
+                number, size = _runs(common, d)
+                fits = (leaf < 0) & (size <= LEAF)
+                leaf[fits] = (number * (DEPTH + 1) + d)[fits]
+            for k in range(1, LEAF):
+                i = np.flatnonzero((leaf[:-k] >= 0) & (leaf[:-k] == leaf[k:]) & (label[:-k] != label[k:])) if k < len(leaf) else []
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([b.column("digest").take(pa.array(i)), b.column("digest").take(pa.array(i + k))], ["a", "b"])
+
+    many = mixed.where(F.col("n") > LEAF).select(*order, "label").repartitionByRange(*order).sortWithinPartitions(*order)
+    large = many.mapInArrow(run, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return small.unionByName(large).distinct()
 
 
 def _entries(sets: DataFrame, percent: int) -> DataFrame:
@@ -219,7 +230,7 @@ def _entries(sets: DataFrame, percent: int) -> DataFrame:
                 t = tokens.values.to_numpy(zero_copy_only=False)
                 size = len(t)
                 n = size - -(-percent * size // 100) + 1
-                first = t[np.lexsort((t, counts.value[t.view("u8") >> _U(64 - CELLS)]))[:n]]
+                first = t[np.lexsort((t, counts.value[t.view("u8") >> U(64 - CELLS)]))[:n]]
                 yield pa.RecordBatch.from_pydict(
                     {"token": first, "digest": pa.array([digest.as_py()] * len(first), pa.binary()), "label": pa.array([label.as_py()] * len(first), pa.binary()), "size": np.full(len(first), size), "place": np.arange(len(first))}
                 )
@@ -227,11 +238,26 @@ def _entries(sets: DataFrame, percent: int) -> DataFrame:
     return sets.select("digest", "label", "set").mapInArrow(run, "token long, digest binary, label binary, size long, place long")
 
 
+def _sketches(sets: DataFrame) -> DataFrame:
+    """digest and sketch: WORDS * 64 bits, of which those at the places of the set's tokens are set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bits = np.zeros((b.num_rows, WORDS * 64), np.uint8)
+            for i, tokens in enumerate(b.column("set")):
+                bits[i, tokens.values.to_numpy().view("u8") % U(WORDS * 64)] = 1
+            words = np.packbits(bits, axis=1).view("<i8")
+            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(w)) for w in words.T], [f"w{k}" for k in range(WORDS)])], ["digest", "sketch"])
+
+    return sets.select("digest", "set").mapInArrow(run, f"digest binary, sketch struct<{', '.join(f'w{k}: long' for k in range(WORDS))}>")
+
+
 def _missing(scratch: Scratch, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of digests with different labels, among which are all linked ones.
 
     Of sets of m <= n tokens that are linked, the intersection is at least percent * (m + n) / (100 + percent). Their first common token, at places i and j, has
-    m - i and n - j of each from it on, so both are that at least, and i is among the few first places that a link to a set of the same size needs.
+    m - i and n - j of each from it on, so both are that at least, and i is among the few first places that a link to a set of the same size needs. Sketches
+    differ in no more bits than the sets in tokens, so these bits bound the intersection too.
     """
     every = scratch.write(_entries(sets, percent), "entries")
     whole = 100 + percent
@@ -240,17 +266,23 @@ def _missing(scratch: Scratch, sets: DataFrame, percent: int) -> DataFrame:
     reach = F.max(F.when(indexed, F.expr(f"{whole} * (size - place) div {percent} - size"))).alias("reach")
     least = F.min(F.when(indexed, F.col("size"))).alias("least")
     by_label = every.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"), reach, least)
-    tokens = by_label.groupBy("token").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label"))["label"].alias("top"), F.max("reach").alias("reach"), F.min("least").alias("least"))
-    tokens = scratch.write(tokens.where("labels > 1 AND reach IS NOT NULL").drop("labels"), "mixed-tokens")
+    tokens = by_label.groupBy("token").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label"))["label"].alias("top"), F.max("reach").alias("reach"), F.min("least").alias("least"), (1 + F.floor(F.sum("n") / BLOCK)).cast("int").alias("blocks"))
+    tokens = tokens.where("labels > 1 AND reach IS NOT NULL").drop("labels")
     met = every.join(tokens, "token").withColumn("indexed", indexed).withColumn("probes", F.expr(f"size <= reach AND {percent} * (least + size) <= {whole} * (size - place)"))
-    met = scratch.write(met.where("indexed OR probes").select(*every.columns, "indexed", "probes", (F.col("label") == F.col("top")).alias("top")), "met-entries")
+    met = met.where("indexed OR probes").select(*every.columns, "indexed", "probes", "blocks", (F.col("label") == F.col("top")).alias("top"))
+    met = scratch.write(met.join(_sketches(sets), "digest"), "met-entries")
     scratch.drop("entries")
-    small = met.where("indexed").select("token", *[F.col(c).alias(f"{c}_a") for c in ("digest", "label", "size", "place", "top")])
-    large = met.where("probes").select("token", *[F.col(c).alias(f"{c}_b") for c in ("digest", "label", "size", "place", "top")])
+    # The entries of a frequent token that are met are dealt out in blocks of about BLOCK, each in a task of its own.
+    end = lambda df, x: df.select("token", "block", *[F.col(c).alias(f"{c}_{x}") for c in ("digest", "label", "size", "place", "top")], *[F.col(f"sketch.w{k}").alias(f"w{k}_{x}") for k in range(WORDS)])
+    small = end(met.where("indexed").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")), "a")
+    large = end(met.where("probes").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "b")
+    apart = " + ".join(f"bit_count(w{k}_a ^ w{k}_b)" for k in range(WORDS))
+    least_common = f"{percent} * (size_a + size_b)"  # times 1 / whole
     fits = F.expr(
-        f"label_a <> label_b AND (size_a < size_b OR size_a = size_b AND digest_a < digest_b) AND {percent} * (size_a + size_b) <= {whole} * (size_a - place_a) AND {percent} * (size_a + size_b) <= {whole} * (size_b - place_b)"
+        f"label_a <> label_b AND (size_a < size_b OR size_a = size_b AND digest_a < digest_b) AND {least_common} <= {whole} * (size_a - place_a) AND {least_common} <= {whole} * (size_b - place_b)"
+        f" AND 2 * {least_common} <= {whole} * (size_a + size_b - ({apart}))"
     )
-    rest, top = small.where("NOT top_a").join(large, "token").where(fits), small.where("top_a").join(large.where("NOT top_b"), "token").where(fits)
+    rest, top = small.where("NOT top_a").join(large, ["token", "block"]).where(fits), small.where("top_a").join(large.where("NOT top_b"), ["token", "block"]).where(fits)
     return rest.unionByName(top).select(F.least("digest_a", "digest_b").alias("a"), F.greatest("digest_a", "digest_b").alias("b")).distinct()
 
 
@@ -262,90 +294,107 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return two.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def _components(scratch: Scratch, links: DataFrame, name: str = "") -> DataFrame:
+def _components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
     """node and label (the least node that it reaches) of the links' ends: labels spread along links and jump to their label's label until none changes."""
-    both = scratch.write(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), f"{name}both")
-    labels = scratch.write(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")), f"{name}labels-0")
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = scratch.write(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")), f"{name}-0")
     for k in range(1, 200):
-        heard = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "label")
-        spread = scratch.write(heard.unionByName(labels).groupBy("node").agg(F.min("label").alias("label")), f"{name}spread-{k}")
+        heard = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "label", F.lit(None).cast("binary").alias("was"))
+        spread = heard.unionByName(labels.select("node", "label", F.col("label").alias("was"))).groupBy("node").agg(F.min("label").alias("label"), F.max("was").alias("was"))
         goal = spread.select(F.col("node").alias("label"), F.col("label").alias("goal"))
-        new = scratch.write(spread.join(goal, "label").select("node", F.col("goal").alias("label")), f"{name}labels-{k}")
-        moved = new.join(labels.select("node", F.col("label").alias("was")), "node").where("label <> was").limit(1).count()
-        scratch.drop(f"{name}spread-{k}")
-        scratch.drop(f"{name}labels-{k - 1}")
-        labels = new
-        if not moved:
+        found = scratch.write(spread.join(goal, "label").select("node", F.col("goal").alias("label"), (F.col("goal") != F.col("was")).alias("moved")), f"{name}-{k}")
+        scratch.drop(f"{name}-{k - 1}")
+        labels = found.select("node", "label")
+        if found.where("moved").isEmpty():
             return labels
     raise RuntimeError("the components did not settle")
 
 
+def _joined(scratch: Scratch, labels: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
+    """The labels once the pairs that are linked have joined their components. ``labels`` is written table ``name`` then."""
+    of = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}"))
+    linked = _confirmed(pairs, sets, percent).join(of("a"), "a", "left").join(of("b"), "b", "left")
+    found = scratch.write(linked.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b").distinct(), f"{name}-links")
+    if found.isEmpty():
+        return labels
+    joined = _components(scratch, found, f"{name}-of")
+    # A label that was joined stands for its own node too, which has no row of its own if no link was known of it.
+    own = joined.select("node", F.col("node").alias("label")).join(labels, "node", "left_anti")
+    again = labels.unionByName(own).join(joined.select(F.col("node").alias("label"), F.col("label").alias("joined")), "label", "left")
+    return scratch.write(again.select("node", F.coalesce("joined", "label").alias("label")), name)
+
+
+def _labels(scratch: Scratch, docs: DataFrame, profiles: DataFrame, percent: int, text: str, n: int) -> DataFrame:
+    """node (digest) and label (its component) of the sets that have a link."""
+    regions = scratch.write(_regions(profiles), "regions")
+    pairs = scratch.write(_to_hubs(regions), "to-hubs")
+    # Full sets, of the sets that are part of a pair only.
+    wanted = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
+    marks = profiles.select("mark", "digest").join(wanted, "digest", "left_semi").groupBy("digest").agg(F.min("mark").alias("mark"))
+    sets = scratch.write(_sets(docs, marks, text, n).groupBy("digest").agg(F.first("set").alias("set")), "sets")
+    links = scratch.write(_confirmed(pairs, sets, percent), "links")
+    labels = _components(scratch, links, "labels")
+
+    # What hubs have missed.
+    mixed = scratch.write(_mixed(regions, labels), "mixed")
+    scratch.drop("regions", "to-hubs", "links")
+    if mixed.isEmpty():
+        return labels
+    labels = _joined(scratch, labels, _neighbours(mixed), sets, percent, "near")
+
+    # What leaves have missed in regions of more sets.
+    crowded = _mixed(mixed.where(F.col("n") > LEAF).select("region", "digest", "part"), labels).select("digest", "label").distinct()
+    busy = scratch.write(sets.join(crowded, "digest"), "busy")
+    scratch.drop("mixed", "sets")
+    if busy.isEmpty():
+        return labels
+    missing = scratch.write(_missing(scratch, busy, percent), "missing")
+    scratch.drop("met-entries")
+    return _joined(scratch, labels, missing, busy, percent, "exact")
+
+
 def _classes(docs: DataFrame, percent: int, key: str, text: str, n: int) -> tuple[Scratch, DataFrame, DataFrame]:
-    """The profiles, and of each set (digest): first (its rows' least key) and label (its class)."""
+    """The profiles, and of each set (digest) that other rows share or that has a link: first (its rows' least key), rows (their number) and label (its class)."""
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "neardup")
     profiles = scratch.write(_profiles(docs, key, text, n), "profiles")
-    firsts = scratch.write(profiles.where("digest IS NOT NULL").groupBy("digest").agg(F.min("key").alias("first")), "firsts")
-    pairs, crowded = _candidates(scratch, profiles)
-    pairs = scratch.write(pairs, "pairs")
-    for name in ("roots", "met", "nodes", "root-sizes", "crowded", "crowded-sizes", "crowded-sized", "leaves", "crowd", "hubs"):
-        scratch.drop(name)
-
-    # Full sets, of the sets that are part of a pair only.
-    wanted = scratch.write(pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct(), "wanted")
-    marks = scratch.write(profiles.select("mark", "digest").join(wanted, "digest", "left_semi").groupBy("digest").agg(F.min("mark").alias("mark")).select("mark"), "wanted-texts")
-    sets = scratch.write(_sets(docs, marks, text, n).join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("set").alias("set")), "sets")
-    links = scratch.write(_confirmed(pairs, sets, percent), "links")
-    scratch.drop("pairs")
-    labels = _components(scratch, links)
-
-    # What leaves and hubs have missed in crowded regions joins components.
-    if not crowded.isEmpty():
-        label = F.coalesce("label", "digest").alias("label")
-        busy = sets.join(crowded, "digest", "left_semi").join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("digest", label, "set")
-        busy = scratch.write(busy, "busy")
-        missing = scratch.write(_missing(scratch, busy, percent), "missing")
-        for name in ("mixed-tokens", "met-entries"):
-            scratch.drop(name)
-        of = busy.select("digest", "label")
-        found = _confirmed(missing, busy, percent).join(of.select(F.col("digest").alias("a"), F.col("label").alias("la")), "a").join(of.select(F.col("digest").alias("b"), F.col("label").alias("lb")), "b")
-        found = scratch.write(found.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "found")
-        if not found.isEmpty():
-            joined = _components(scratch, found, "joined-").select(F.col("node").alias("label"), F.col("label").alias("joined"))
-            singles = found.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("label"))
-            labels = labels.unionByName(singles.join(labels, "node", "left_anti"))
-            labels = scratch.write(labels.join(joined, "label", "left").select("node", F.coalesce("joined", "label").alias("label")), "joined")
-        for name in ("busy", "missing"):
-            scratch.drop(name)
-    scratch.drop("sets")
-    named = firsts.join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "first", F.coalesce("label", "digest").alias("label"))
-    return scratch, profiles, scratch.write(named, "named")
+    labels = _labels(scratch, docs, profiles, percent, text, n)
+    firsts = profiles.where("digest IS NOT NULL").groupBy("digest").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("rows"))
+    named = firsts.join(labels.withColumnRenamed("node", "digest"), "digest", "left").where("rows > 1 OR label IS NOT NULL")
+    named = scratch.write(named.select("digest", "first", F.coalesce("label", "digest").alias("label")), "named")
+    scratch.drop("busy", "missing", "sets", "mixed")
+    return scratch, profiles, named
 
 
 def classes(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text", n: int = N) -> DataFrame:
     """Per row: key, n_shingles, digest, component_id (the least key reachable by links of ``100 * intersection >= percent * union``) and kept (its own key is that)."""
     scratch, profiles, named = _classes(docs, percent, key, text, n)
-    least = scratch.write(named.groupBy("label").agg(F.min("first").alias("component_id")), "least")
-    of_set = scratch.write(named.join(least, "label").select("digest", "component_id"), "of-set")
+    least = named.groupBy("label").agg(F.min("first").alias("component_id"))
+    of_set = scratch.write(named.join(least, "label").select("digest", "component_id", F.lit(True).alias("grouped")), "of-set")
+    scratch.drop("named")
     out = profiles.select("key", "n_shingles", "digest").join(of_set, "digest", "left")
-    component = F.when(F.col("digest").isNull(), F.col("key")).otherwise(F.col("component_id"))
+    component = F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("key"))
     return out.select(F.col("key").alias(key), "n_shingles", "digest", component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(False)).alias("kept"))
 
 
 def representatives(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text", n: int = N) -> DataFrame:
     """``docs``, of each class one row: that of the least key (null keys last) and then of the least text mark. Rows without words are all kept."""
     scratch, profiles, named = _classes(docs, percent, key, text, n)
-    rows = profiles.where("digest IS NOT NULL").select("key", "mark", "digest")
-    of_set = scratch.write(rows.groupBy("digest").agg(F.min(F.struct(F.col("key").isNull().alias("last"), "key", "mark")).alias("best")), "best")
-    labelled = scratch.write(of_set.join(named.select("digest", "label"), "digest"), "labelled")
-    chosen = scratch.write(labelled.groupBy("label").agg(F.min("best").alias("best")).select("best.key", "best.mark"), "chosen")
-    same = lambda x, y: x["key"].eqNullSafe(y["key"]) & (x["mark"] == y["mark"])
-    gone = scratch.write(rows.join(chosen, same(rows, chosen), "left_anti").select("key", "mark").distinct(), "gone")
-    marked = docs.withColumns({"_key": F.col(key).cast("long"), "_mark": _mark(text)})
-    left = marked.join(gone, marked["_key"].eqNullSafe(gone["key"]) & (marked["_mark"] == gone["mark"]), "left_anti")
+    # Only rows of sets with a class of several rows can go.
+    rows = profiles.select("key", "mark", "digest").join(named.select("digest", "label"), "digest")
+    best = F.min(F.struct(F.col("key").isNull().alias("last"), "key", "mark")).alias("best")
+    chosen = rows.groupBy("label", "digest").agg(best).groupBy("label").agg(F.min("best").alias("best"))
+    judged = scratch.write(rows.groupBy("label", "key", "mark").agg(F.count(F.lit(1)).alias("n")).join(chosen, "label"), "judged")
+    stays = F.col("key").eqNullSafe(F.col("best.key")) & (F.col("mark") == F.col("best.mark"))
+    k, m = unused("key", docs), unused("mark", docs)
+    gone = scratch.write(judged.where(~stays).select(F.col("key").alias(k), F.col("mark").alias(m)), "gone")
+    twice = scratch.write(judged.where(stays & (F.col("n") > 1)).select(F.col("key").alias(k), F.col("mark").alias(m)), "twice")
+    scratch.drop("profiles", "named", "judged")
+    whole = docs.withColumns({k: F.col(key).cast("long"), m: _mark(text)})
+    left = without(whole, gone, [k, m])
     # Rows equal in key and text are told apart by nothing; only such rows, if there are any, are compared with each other.
-    twice = scratch.write(rows.groupBy("key", "mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "twice")
     if not twice.isEmpty():
-        are = left["_key"].eqNullSafe(twice["key"]) & (left["_mark"] == twice["mark"])
-        left = left.join(twice, are, "left_anti").unionByName(left.join(twice, are, "left_semi").dropDuplicates(["_key", "_mark"]))
-    return left.select(*docs.columns)
+        named_twice = twice.select(F.col(k).alias(f"{k}2"), F.col(m).alias(f"{m}2"))
+        same = F.col(k).eqNullSafe(F.col(f"{k}2")) & (F.col(m) == F.col(f"{m}2"))
+        left = without(left, twice, [k, m]).unionByName(left.join(named_twice, same, "left_semi").dropDuplicates([k, m]))
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
