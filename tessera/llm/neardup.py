@@ -25,7 +25,6 @@ rows that repeat a key are judged each by their own text; a null key never names
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BASE, BITS, Scratch, U, bitmap, marked, mix, place, unused, without, word_hashes
+from tessera.llm.common import BASE, BITS, Scratch, U, bitmap, hashes, marked, mix, place, unused, without
 
 N, TREES, DEPTH, ROOT, LEAF = 5, 16, 12, 4, 32
 #: Binary logarithm of the number of cells in which the exact join counts tokens to order them by rarity. Collisions cost time only: any order that all sets share is right.
@@ -42,8 +41,6 @@ CELLS = 21
 WORDS = 32
 #: Entries of a token that one task meets with all others of that token.
 BLOCK = 2048
-_CHUNK = 1 << 20
-_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _SEPARATES = np.zeros(256, bool)
 _SEPARATES[[0x20, 9, 10, 11, 12, 13]] = True
 _RNG = np.random.default_rng(20240229)
@@ -54,13 +51,7 @@ _MUL = _RNG.integers(0, 1 << 31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2)
 def shingles(text: str | bytes | None, n: int = N) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's n-word shingles."""
     raw = (text.encode() if isinstance(text, str) else text or b"").lower()
-    found, at = [], 0
-    while at < len(raw):
-        cut = _SPACE.search(raw, at + _CHUNK)
-        end = cut.start() if cut else len(raw)
-        found.append(word_hashes(raw[at:end], _SEPARATES))
-        at = end
-    w = np.concatenate(found) if found else np.zeros(0, U)
+    w = hashes(raw, _SEPARATES)
     if not len(w):
         return w
     k = min(n, len(w))
@@ -218,8 +209,16 @@ def _entries(sets: DataFrame, percent: int) -> DataFrame:
 
     ``sets``: digest, label and set. A link to a set no larger than this one takes percent in 100 of its tokens at least.
     """
-    cell = F.shiftrightunsigned("token", 64 - CELLS).cast("int").alias("cell")
-    often = sets.select(F.explode("set").alias("token")).groupBy(cell).agg(F.count(F.lit(1)).alias("n")).where("n > 1").toPandas()
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << CELLS, np.int64)
+        for b in batches:
+            tokens = b.column("set").flatten().to_numpy(zero_copy_only=False)
+            total += np.bincount((tokens.view("u8") >> U(64 - CELLS)).astype("i8"), minlength=1 << CELLS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype("i4")), pa.array(total[at])], ["cell", "n"])
+
+    often = sets.select("set").mapInArrow(cells, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").toPandas()
     counts = np.ones(1 << CELLS, np.int64)
     counts[often["cell"]] = often["n"]
     counts = sets.sparkSession.sparkContext.broadcast(counts)
