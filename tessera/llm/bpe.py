@@ -22,10 +22,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.common import unused
+
 #: Bytes of a word from which the heap takes over.
 LONG = 256
 #: Words kept by a Python worker.
@@ -176,6 +178,10 @@ def _schema(df: DataFrame, added: Sequence[T.StructField]) -> tuple[T.StructType
     return T.StructType([*kept, *added]), [f.name for f in kept]
 
 
+def _quoted(names: Sequence[str]) -> list[Column]:
+    return [F.col(f"`{c}`") for c in names]
+
+
 def encode(df: DataFrame, path: str, text: str = "text", into: str = "ids") -> DataFrame:
     """``df`` with the ids of whole texts in ``into`` (array of long)."""
     schema, kept = _schema(df, [T.StructField(into, T.ArrayType(T.LongType()))])
@@ -184,12 +190,12 @@ def encode(df: DataFrame, path: str, text: str = "text", into: str = "ids") -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(model.value)
         for b in batches:
-            encoded = [bpe.encode(t) for t in b.column("_text").to_pylist()]
+            encoded = [bpe.encode(t) for t in b.column(len(kept)).to_pylist()]
             ends = np.cumsum([0, *(len(x) // 4 for x in encoded)]).astype("i4")
             flat = np.frombuffer(b"".join(encoded), "<u4").astype("i8")
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.ListArray.from_arrays(ends, flat)], [*kept, into])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.ListArray.from_arrays(ends, flat)], schema.names)
 
-    return df.select(*kept, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return df.select(*_quoted(kept), F.col(text).alias(unused("text", df))).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -200,10 +206,10 @@ def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(model.value)
         for b in batches:
-            texts = [bpe.decode(np.array(x or [], "u4")) for x in b.column("_ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(texts, pa.string())], [*kept, into])
+            texts = [bpe.decode(np.array(x or [], "u4")) for x in b.column(len(kept)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(texts, pa.string())], schema.names)
 
-    return df.select(*kept, F.col(ids).alias("_ids")).mapInArrow(run, schema)
+    return df.select(*_quoted(kept), F.col(ids).alias(unused("ids", df))).mapInArrow(run, schema)
 
 
 def roundtrip(df: DataFrame, path: str, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -219,11 +225,11 @@ def roundtrip(df: DataFrame, path: str, text: str = "text", keep: Sequence[str]
         bpe = load(model.value)
         for b in batches:
             n, ids, texts = [], [], []
-            for t in b.column("_text"):
+            for t in b.column(len(kept)):
                 encoded = bpe.encode(t.as_py())
                 n.append(len(encoded) // 4)
                 ids.append(hashlib.sha256(encoded).hexdigest())
                 texts.append(hashlib.sha256(bpe.decode(encoded).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], schema.names)
 
-    return df.select(*kept, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return df.select(*_quoted(kept), F.col(text).alias(unused("text", df))).mapInArrow(run, schema)

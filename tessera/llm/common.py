@@ -162,3 +162,16 @@ def word_hashes(raw: bytes, separates: np.ndarray) -> np.ndarray:
     power, inverse = _pow(len(b))
     sums = np.concatenate((np.zeros(1, U), np.cumsum((b.astype(U) + U(1)) * power)))
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U))
+
+
+def hashes(raw: bytes, separates: np.ndarray, chunk: int = 1 << 20) -> np.ndarray:
+    """The hashes of a text's words, taken in pieces of about ``chunk`` bytes that end between words."""
+    if len(raw) <= chunk:
+        return word_hashes(raw, separates)
+    gaps, found, at = np.flatnonzero(separates[np.frombuffer(raw, np.uint8)]), [], 0
+    while at < len(raw):
+        k = int(np.searchsorted(gaps, at + chunk))
+        end = int(gaps[k]) if k < len(gaps) else len(raw)
+        found.append(word_hashes(raw[at:end], separates))
+        at = end
+    return np.concatenate(found)

@@ -17,7 +17,7 @@ again. Texts such as addresses and secrets are permuted likewise, half a string
 | email | local part and domain | letters and digits of each; the last label stays |
 | secret | AKIA keys, ``password=`` and the like, 40 hexadecimal digits | letters and digits |
 
-Values that look alike but aren't valid stay as they are. The key is a parameter; whoever has it can invert the permutation.
+Values that look alike but aren't valid stay as they are. The key must be given; whoever has it can invert the permutation, so keep it as you keep the texts (it is part of the query's plan).
 
 Defined results: a null text stays null and an empty text empty, with nothing found; very long texts are processed whole; rows that repeat are treated alike; an empty table
 gives no rows; other columns pass through, except those named as a result (``n_found``, ``kinds``), which are replaced.
@@ -28,8 +28,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import unused
+
 ROUNDS = 10
-KEY = "tessera"
 FIRST_DAY, DAYS = "1900-01-01", (17, 4297)  # 17 * 4297 days end on 2099-12-31
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -216,14 +217,17 @@ def _pseudonym(m: Column, key: str) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
-    """``docs`` with the text's values replaced, and n_found (long) and kinds (the kind of each, in the order of the text)."""
-    kept = [c for c in docs.columns if c not in ("n_found", "kinds", "_found", "_new")]
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", n_found: str = "n_found", kinds: str = "kinds") -> DataFrame:
+    """``docs`` with the text's values replaced, and ``n_found`` (long) and ``kinds`` (the kind of each, in the order of the text). ``key``: a secret of your own."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
+    kept = [c for c in docs.columns if c not in (n_found, kinds)]
+    old, new = unused("found", docs), unused("new", docs)
+    columns, body = [F.col(f"`{c}`") for c in kept], F.col(f"`{text}`")
     none = F.array().cast("array<string>")
-    found = docs.select(*kept, F.when(F.col(text).rlike(_HAS), F.regexp_extract_all(F.col(text), F.lit(_ANY), F.lit(0))).otherwise(none).alias("_found"))
-    made = found.select(*kept, "_found", F.transform("_found", lambda m: _pseudonym(m, key)).alias("_new"))
-    between = F.split(F.col(text), _ANY, -1)
-    woven = F.array_join(F.zip_with(between, "_new", lambda g, n: F.concat(g, F.coalesce(n["value"], F.lit("")))), "")
-    kinds = F.filter(F.transform("_new", lambda n: n["kind"]), lambda k: k.isNotNull())
-    whole = F.when(F.size("_new") > 0, woven).otherwise(F.col(text)).alias(text)
-    return made.select(*[whole if c == text else F.col(c) for c in kept], F.size(kinds).cast("long").alias("n_found"), kinds.alias("kinds"))
+    found = docs.select(*columns, F.when(body.rlike(_HAS), F.regexp_extract_all(body, F.lit(_ANY), F.lit(0))).otherwise(none).alias(old))
+    made = found.select(*columns, F.transform(old, lambda m: _pseudonym(m, key)).alias(new))
+    woven = F.array_join(F.zip_with(F.split(body, _ANY, -1), new, lambda g, n: F.concat(g, F.coalesce(n["value"], F.lit("")))), "")
+    named = F.filter(F.transform(new, lambda n: n["kind"]), lambda k: k.isNotNull())
+    whole = F.when(F.size(new) > 0, woven).otherwise(body).alias(text)
+    return made.select(*[whole if c == text else F.col(f"`{c}`") for c in kept], F.size(named).cast("long").alias(n_found), named.alias(kinds))

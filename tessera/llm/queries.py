@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +24,19 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
 
 
+#: The session's setting that holds the key of op4 and of the pipeline. Its name makes Spark's UI hide it.
+PII_KEY = "spark.tessera.pii.secret"
+
+
+def pii_key(spark: SparkSession) -> str:
+    """The session's key. Where none is set, one is drawn for the session: pseudonyms are then linked within it only, and nobody can invert them later."""
+    if not spark.conf.get(PII_KEY, None):
+        spark.conf.set(PII_KEY, secrets.token_hex(16))
+    return spark.conf.get(PII_KEY)
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_found", "kinds")
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), pii_key(spark)).select("doc_id", "text", "n_found", "kinds")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,7 +146,7 @@ def test_equals_brute_force(spark):
     for r in out:
         text, kinds = brute(texts[4 if r.doc_id is None else r.doc_id], "secret")
         assert (r.text, r.kinds, r.n_found) == (text, kinds, len(kinds))
-    assert pii.pseudonymise(df.limit(0)).collect() == []
+    assert pii.pseudonymise(df.limit(0), "k").collect() == []
 
 
 def test_permutations_are_bijections(spark):
@@ -155,12 +155,12 @@ def test_permutations_are_bijections(spark):
     df = spark.range(17 * 43).select(pii.permuted("k", "d", F.floor(F.col("id") / 43), F.col("id") % 43, 17, 43).alias("p"))
     assert df.distinct().count() == 17 * 43
     days = spark.range(0, 73049, 7).select(F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"))
-    assert pii.pseudonymise(days).select("text").distinct().count() == days.count()
+    assert pii.pseudonymise(days, "k").select("text").distinct().count() == days.count()
 
 
 def test_equal_values_stay_linked(spark):
     rows = spark.createDataFrame([(1, "a 4111 1111 1111 1111"), (2, "b 4111-1111-1111-1111 c 4111111111111111")], "doc_id int, text string")
-    found = {re.sub("[^0-9]", "", x) for r in pii.pseudonymise(rows).collect() for x in re.findall("[0-9][0-9 -]{14,}[0-9]", r.text)}
+    found = {re.sub("[^0-9]", "", x) for r in pii.pseudonymise(rows, "k").collect() for x in re.findall("[0-9][0-9 -]{14,}[0-9]", r.text)}
     assert len(found) == 1 and found != {"4111111111111111"}
 
 
@@ -177,7 +177,7 @@ def test_long_values_are_replaced_whole(spark):
 
 def test_long_runs_take_linear_time(spark):
     text = "x" + "a1" * 300_000 + " a@" + "b." * 20_000
-    assert pii.pseudonymise(spark.createDataFrame([(1, text)], "doc_id int, text string")).first().text == text
+    assert pii.pseudonymise(spark.createDataFrame([(1, text)], "doc_id int, text string"), "k").first().text == text
 
 
 def test_values_of_letters_alone_are_found(spark):
