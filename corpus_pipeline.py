@@ -1,20 +1,20 @@
 """The corpus pipeline: toxicity, near-duplicates, decontamination, pseudonyms, tokens.
 
 Each stage takes (spark, docs, sf_dir) and works on all documents that its predecessor kept. ``run`` writes each stage's result as Parquet in the
-shared folder and reads it again, so a lost executor costs at most the stage that runs. All stages but the last return the columns of ``documents``.
+shared folder and reads it again, so a lost executor costs at most the stage that runs, and a result goes once the next is written. All stages but the last return the columns of ``documents``.
 
 Defined results: null and empty texts are kept by the filters (they are neither toxic, nor linked, nor contaminated), pass the pseudonyms as they are, and have no tokens; an empty table
-passes through; columns beyond those of ``documents`` pass through all stages but the last.
+passes through; columns beyond those of ``documents``, whatever their names, pass through all stages but the last.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontam, neardup, pii, toxicity
-from tessera.llm.common import Scratch, held_out, table
-from tessera.llm.queries import tokenizer_path
+from tessera.llm.common import Scratch, held_out, table, unused, without
+from tessera.llm.queries import pii_key, tokenizer_path
 
 #: No SQL expresses the trained classifier's or the tokenizer's stage; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
@@ -22,10 +22,15 @@ ORACLE_SQL = None
 PERCENT = 80
 
 
+def _columns(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below the classifier's threshold. The labels of held-out rows teach nothing."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), usable=~held_out(F.col("doc_id")))
-    return toxicity.score(docs, model, into="_score").where(F.col("_score") < toxicity.THRESHOLD).select(*docs.columns)
+    score = unused("score", docs)
+    return toxicity.score(docs, model, into=score).where(F.col(score) < toxicity.THRESHOLD).select(*_columns(docs))
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,18 +39,25 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any exact window of a benchmark item. A window is ``decontam.WINDOW`` words, or a shorter item whole."""
-    named = docs.withColumn("_digest", F.sha2(F.coalesce("text", F.lit("")), 256))
-    found = decontam.decontaminate(named, table(spark, sf_dir, "benchmark"), key="_digest")
-    bad = Scratch(spark, "contaminated").write(found.where("n_hit > 0").select("_digest").distinct(), "digests")
-    return named.join(bad, "_digest", "left_anti").select(*docs.columns)
+    """Documents without a full window (``decontam.WINDOW`` words) of a benchmark item.
+
+    An item of fewer words is one short window, which clean texts may have by chance ("the end"), so such items count only where a document has two of them.
+    """
+    digest, scratch = unused("digest", docs), Scratch(spark, "contaminated")
+    named = docs.withColumn(digest, F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)))
+    found = decontam.decontaminate(named.select(F.col(digest).alias("key"), "text"), table(spark, sf_dir, "benchmark"), key="key", scratch=scratch)
+    bad = found.where((F.size("whole_items") > 0) | (F.size("items") >= 2)).select(F.col("key").alias(digest)).distinct()
+    bad = scratch.write(bad, "bad")
+    scratch.drop("index")
+    return without(named, bad, [digest]).select(*_columns(docs))
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal values in their texts replaced by pseudonyms of the same format; n_chars is the new text's."""
-    out = pii.pseudonymise(docs)
-    length = F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")) if "n_chars" in docs.columns else None
-    return out.select(*[length.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    out = pii.pseudonymise(docs, pii_key(spark), n_found=unused("n_found", docs), kinds=unused("kinds", docs))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
+    return out.select(*_columns(docs))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +76,10 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, over ``documents``."""
-    scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
+    scratch, docs, last = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = scratch.write(stage(spark, docs, sf_dir), name)
+        if last:
+            scratch.drop(last)
+        last = name
     return STAGES[-1][1](spark, docs, sf_dir)
