@@ -28,11 +28,13 @@ from tessera.llm.common import Scratch, hashes
 
 WINDOW, SLOP = 8, 2
 #: Words after which a shard is closed, and bytes of test texts searched at once.
-SHARD_WORDS, SLICE_BYTES = 400_000, 16 << 20
+SHARD_WORDS, SLICE_BYTES = 200_000, 16 << 20
 #: Words are runs of the bytes of [0-9a-z] and of all that isn't ASCII; A-Z is lower-cased.
 _SEPARATES = np.array([b < 0x80 and not (chr(b).isdigit() or "a" <= chr(b) <= "z") for b in range(256)])
 
-_INDEX = "shard long, doc_ids array<{key}>, starts array<int>, n_words array<int>, terms array<long>, bounds array<int>, positions array<int>"
+#: A shard's lists are binary: starts and n_words of its documents, its terms in order, bounds of their postings, and positions.
+_LISTS = {"starts": "i4", "n_words": "i4", "terms": "i8", "bounds": "i4", "positions": "i4"}
+_INDEX = f"shard long, doc_ids array<{{key}}>, {', '.join(f'{c} binary' for c in _LISTS)}"
 
 
 def words(text: str | bytes | None) -> np.ndarray:
@@ -74,9 +76,9 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text", gap: int = W
             order = np.argsort(t, kind="stable")
             t, p = t[order], p[order]
             heads = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1]))) if len(t) else np.zeros(0, int)
-            columns = {"starts": starts, "n_words": counts, "bounds": np.append(heads, len(t)), "positions": p}
-            lists = {"doc_ids": pa.array([ids], arrow), "terms": pa.array([t[heads]], pa.list_(pa.int64())), **{name: pa.array([c], pa.list_(pa.int32())) for name, c in columns.items()}}
-            return pa.RecordBatch.from_pydict({"shard": pa.array([secrets.randbits(63)]), **{c: lists[c] for c in ("doc_ids", "starts", "n_words", "terms", "bounds", "positions")}})
+            lists = {"starts": starts, "n_words": counts, "terms": t[heads], "bounds": np.append(heads, len(t)), "positions": p}
+            blobs = {c: pa.array([np.asarray(lists[c], kind).tobytes()], pa.binary()) for c, kind in _LISTS.items()}
+            return pa.RecordBatch.from_pydict({"shard": pa.array([secrets.randbits(63)]), "doc_ids": pa.array([ids], arrow), **blobs})
 
         for batch in batches:
             for k, x in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
@@ -128,7 +130,7 @@ def search(index: DataFrame, test, slop: int = SLOP) -> DataFrame:
         t = test.value
         for batch in batches:
             for i in range(batch.num_rows):
-                starts, n_words, terms, bounds, positions = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("starts", "n_words", "terms", "bounds", "positions"))
+                starts, n_words, terms, bounds, positions = (np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c, kind in _LISTS.items())
                 hits, near, whole = ([set() for _ in starts] for _ in range(3))
                 spans: list[list[tuple[int, int]]] = [[] for _ in starts]
                 for w, exact, about in find(t, terms, bounds, positions, slop):
