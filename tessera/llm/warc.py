@@ -4,8 +4,9 @@ Writing makes two tables. ``headers`` has one row per page: the exact bytes of t
 ``payloads`` has each different payload's bytes once, under its SHA-256, which is computed anew and compared whenever payloads are read.
 A record's bytes are its headers and, for a response, its payload; a revisit's record has no payload, but ``read`` gives the one it refers to.
 
-The page that a group of equal payloads is stored under is found by a partial aggregation of (digest, page_id) pairs, so a group that holds a third of all rows is
-reduced before it is shuffled. Joins are of tables that were written, so the adaptive planner can split a digest that many pages share.
+The page that a group of equal payloads is stored under is found by a partial aggregation of digests and pages, so a group that holds a third of all rows is
+reduced before it is shuffled. Payloads that no other page has are written where they are read; only those of several pages are shuffled, dealt out by digest and page together, so the copies
+of a large group go to different tasks. Joins are of two shuffled sides, so the adaptive planner can split a digest that many pages share.
 
 Defined results: a null payload is the empty one, of which, as of all payloads under ``LEAST`` bytes, every record is a response; a null url is the empty target; rows that repeat a page_id each have a record,
 and where they are equal in payload too, all of them are responses if one is; a null page_id counts as the largest; extra columns are ignored; an empty table makes an empty archive.
@@ -18,14 +19,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch
+from tessera.llm.common import Scratch, without
 
 #: Payloads of fewer bytes are stored once too, but never recorded as revisits.
 LEAST = 100
 #: The place of a null page_id in the order of pages.
 LAST = 2**63 - 1
 DATE = "2024-01-01T00:00:00Z"
-_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 @dataclass
@@ -48,13 +49,13 @@ def write(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload:
         F.col(page_id).cast("long").alias("page_id"), F.regexp_replace(F.coalesce(F.col(url).cast("string"), F.lit("")), r"[\r\n]", " ").alias("url"), body.alias("payload")
     ).withColumns({"digest": F.sha2("payload", 256), "bytes": F.octet_length("payload").cast("long"), "order": F.coalesce("page_id", F.lit(LAST))})
 
-    firsts = scratch.write(rows.groupBy("digest").agg(F.min("order").alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
-    # Payloads are dealt out by digest and page together, so the copies of a large group go to different tasks; only its first page's bytes go on,
-    # and equal rows are then in the same task, so they take no second shuffle.
-    stored = rows.select("digest", "order", "payload").join(firsts.select("digest", F.col("first").alias("order")), ["digest", "order"], "left_semi")
-    payloads = scratch.write(stored.dropDuplicates(["digest", "order"]).select("digest", "payload"), "payloads")
+    groups = rows.groupBy("digest").agg(F.min(F.struct("order", "url")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = scratch.write(groups.select("digest", F.col("first.order").alias("first"), F.col("first.url").alias("first_url")), "shared")
+    # Of the pages of a shared payload only the first's bytes go on, and rows equal to it are then in the same task, so they take no second shuffle.
+    firsts = rows.select("digest", "order", "payload").join(shared.select("digest", F.col("first").alias("order")), ["digest", "order"], "left_semi")
+    singles = without(rows.select("digest", "payload"), shared.select("digest"), ["digest"])
+    payloads = scratch.write(singles.unionByName(firsts.dropDuplicates(["digest", "order"]).select("digest", "payload")), "payloads")
 
-    shared = firsts.where("n > 1").select("digest", "first")
     small = rows.select("page_id", "order", "url", "digest", "bytes").join(shared, "digest", "left")
     revisit = (F.col("bytes") >= LEAST) & F.col("first").isNotNull() & (F.col("order") != F.col("first"))
     kind = F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))
@@ -62,6 +63,7 @@ def write(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload:
     lines = lambda *pairs: F.concat_ws("\r\n", *[p if isinstance(p, Column) else F.lit(p) for p in pairs])
     http = lines("HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", F.concat(F.lit("Content-Length: "), F.col("bytes")), "", "")
     names = small.withColumns({"record_type": kind, "refers_to": refers, "http": http})
+    first_page = F.when(F.col("refers_to") == LAST, F.lit("null")).otherwise(F.col("refers_to").cast("string"))
     body_bytes = F.when(F.col("record_type") == "response", F.col("bytes")).otherwise(F.lit(0))
     page = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
     header = lines(
@@ -72,7 +74,7 @@ def write(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload:
         F.concat(F.lit("WARC-Target-URI: "), F.col("url")),
         F.concat(F.lit("X-Page-ID: "), page),
         F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("digest")),
-        F.when(F.col("refers_to").isNotNull(), F.concat(F.lit("X-Refers-To-Page-ID: "), F.col("refers_to"), F.lit(f"\r\nWARC-Profile: {_PROFILE}"))),
+        F.when(F.col("refers_to").isNotNull(), F.concat(F.lit("WARC-Refers-To: "), _uuid(first_page, F.col("first_url"), F.col("digest")), F.lit("\r\nX-Refers-To-Page-ID: "), first_page, F.lit(f"\r\nWARC-Profile: {PROFILE}"))),
         F.lit("Content-Type: application/http; msgtype=response"),
         F.concat(F.lit("Content-Length: "), (F.octet_length("http") + body_bytes)),
         "",
