@@ -1,13 +1,13 @@
 """URL filters by a temporal list join, in DataFrame expressions only.
 
 Lists change over time. Their dated entries (add or remove a pattern from a day on) become validity intervals: a pattern's later entry ends the earlier one.
-Each capture yields its keys, which are its host, the host's parent domains, and its URL's path prefixes; an equi-join on the key followed by the as-of condition
-``valid_from <= fetched_at < valid_to`` evaluates it against the entries active when it was fetched. Of its active entries the most specific (longest pattern)
+The as-of join meets captures with intervals row by row: on the host, of which the distinct ones have been matched with the lists' domains before, where the path has the pattern's prefix and
+``valid_from <= fetched_at < valid_to``. Of a capture's active entries the most specific (longest pattern)
 decides, ``allow`` before ``block`` where two are equally specific; a capture with none is kept.
 
-Keys are few per capture: they go as deep as the lists' own patterns do, in labels and in path segments, so each entry can match. Distinct sets of keys are
-reduced before the lists are joined, and what they match is a written table, which Spark broadcasts only within its own threshold; beyond it the join
-with the captures is one of two scans, whose hot keys the adaptive planner splits.
+Hosts are few beside captures and are reduced by partial aggregation first; a host's domains go as deep as the lists' own patterns do, so each entry can match. What hosts match is a written table, which Spark
+broadcasts only within its own threshold; beyond it a host that many captures share is split by the adaptive planner. The entries that a capture meets are reduced in an
+aggregation of two numbers and the best one, so no list of them is ever held, however many entries a host has.
 
 Defined results: a null or hostless URL has no keys and is kept with no rule; a null fetch time matches nothing; an entry with a null date, pattern or action is ignored;
 of entries of one list and pattern that bear the same time the last action in alphabetical order counts (``remove`` before ``add`` is thus overruled); repeated captures are evaluated each; empty lists keep everything;
@@ -59,52 +59,47 @@ def intervals(listed: DataFrame) -> DataFrame:
     return spells.where("e.action = 'add'").select("list", F.col("e.effect").alias("effect"), "pattern", F.col("since").alias("valid_from"), "valid_to")
 
 
-def keys(url: Column, most_labels: int, most_segments: int) -> Column:
-    """The keys by which lists can name a URL: host and parent domains of up to ``most_labels`` labels, each also with up to ``most_segments`` leading path segments."""
-    found = F.regexp_extract(F.lower(F.trim(url)), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)(?::[0-9]*)?(/[^?#]*)?", 1)
-    path = F.regexp_extract(F.lower(F.trim(url)), r"^[a-z][a-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
-    labels = F.split(F.rtrim(found, F.lit(".")), r"\.")
-    count = F.least(F.size(labels), F.lit(most_labels))
-    domains = F.transform(F.sequence(F.lit(1), count), lambda n: F.array_join(F.slice(labels, -n, n), "."))
-    segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    depth = F.least(F.size(segments), F.lit(most_segments))
-    prefixes = F.concat(F.array(F.lit("")), F.when(depth > 0, F.transform(F.sequence(F.lit(1), depth), lambda n: F.concat(F.lit("/"), F.array_join(F.slice(segments, 1, n), "/")))).otherwise(F.array().cast("array<string>")))
-    every = F.flatten(F.transform(domains, lambda d: F.transform(prefixes, lambda p: F.concat(d, p))))
-    return F.when(found != "", F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+def host(url: Column) -> Column:
+    """A URL's host in lower case, without user, port and final dot; null where there is none."""
+    found = F.rtrim(F.regexp_extract(F.lower(F.trim(url)), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1), F.lit("."))
+    return F.when(found != "", found)
 
 
-def _depths(spells: DataFrame) -> tuple[int, int]:
-    """The most labels and the most path segments that a pattern has."""
-    host, path = F.substring_index("pattern", "/", 1), F.split("pattern", "/")
-    most = spells.agg(F.max(F.size(F.split(host, r"\."))), F.max(F.size(path) - 1)).first()
-    return most[0] or 1, most[1] or 0
+def path(url: Column) -> Column:
+    """A URL's path in lower case, its segments between single slashes, with one at either end."""
+    found = F.regexp_extract(F.lower(F.trim(url)), r"^[a-z][a-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
+    return F.regexp_replace(F.concat(F.lit("/"), found, F.lit("/")), "/+", "/")
+
+
+def domains(name: Column, most: int) -> Column:
+    """A host and its parent domains, of up to ``most`` labels."""
+    labels = F.split(name, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(most))), lambda n: F.array_join(F.slice(labels, -n, n), "."))
 
 
 def evaluate(captures: DataFrame, listed: DataFrame, url: str = "url", fetched: str = "fetched_at") -> DataFrame:
     """``captures`` with verdict (keep or block), rule_list, rule_pattern and rule_since of the entry that decides, and n_active (entries active at fetch time)."""
-    spells = intervals(listed)
     kept = [c for c in captures.columns if c not in RESULTS]
-    # One row of spells per key: lists name a key a few times, so these arrays are short.
-    spell = F.struct("valid_from", "valid_to", "list", "effect", "pattern")
-    by_key = spells.groupBy(F.col("pattern").alias("_key")).agg(F.array_sort(F.collect_list(spell)).alias("_spells"))
-    # A URL's own keys decide; the distinct sets of keys are few beside the captures, and are what is joined and put together again.
-    rows = captures.select(*kept, keys(F.col(url), *_depths(spells)).alias("_keys"), F.col(fetched).alias("_at"))
-    sets = rows.select("_keys").distinct().where(F.size("_keys") > 0)
-    found = sets.select("_keys", F.explode("_keys").alias("_key")).join(by_key, "_key").groupBy("_keys").agg(F.flatten(F.collect_list("_spells")).alias("_spells"))
-    found = Scratch(captures.sparkSession, "urlfilter").write(found, "found")
-    active = F.filter("_spells", lambda s: (s["valid_from"] <= F.col("_at")) & (s["valid_to"].isNull() | (F.col("_at") < s["valid_to"])))
+    spells = intervals(listed).withColumn("domain", F.rtrim(F.substring_index("pattern", "/", 1), F.lit(".")))
+    spells = spells.withColumn("prefix", path(F.concat(F.lit("http://"), "pattern")))
+    most = spells.agg(F.max(F.size(F.split("domain", r"\.")))).first()[0] or 1
+    columns = [F.col(f"`{c}`") for c in kept]
+    rows = captures.select(F.struct(*columns).alias("row"), host(F.col(f"`{url}`")).alias("host"), path(F.col(f"`{url}`")).alias("path"), F.col(f"`{fetched}`").cast("timestamp_ntz").alias("at"))
+    hosts = rows.select("host").where("host IS NOT NULL").distinct()
+    rules = hosts.select("host", F.explode(domains(F.col("host"), most)).alias("domain")).join(spells, "domain").select(F.col("host").alias("rule_host"), "prefix", "valid_from", "valid_to", "list", "effect", "pattern")
+    rules = Scratch(captures.sparkSession, "urlfilter").write(rules, "rules")
+    active = (F.col("host") == F.col("rule_host")) & F.startswith("path", "prefix") & (F.col("valid_from") <= F.col("at")) & (F.col("valid_to").isNull() | (F.col("at") < F.col("valid_to")))
+    met = rows.withColumn("id", F.monotonically_increasing_id()).join(rules, active, "left")
     # Longest pattern first, then allow before block, then by name.
-    ranked = F.array_sort(F.transform("_active", lambda s: F.struct((-F.length(s["pattern"])).alias("o"), s["effect"], s["list"], s["pattern"], s["valid_from"])))
-    best = F.get("_ranked", F.lit(0))
-    judged = rows.join(found, "_keys", "left").withColumn("_active", F.coalesce(active, F.array().cast("array<struct<valid_from:timestamp_ntz,valid_to:timestamp_ntz,list:string,effect:string,pattern:string>>")))
-    judged = judged.withColumn("_ranked", ranked).withColumn("_best", best)
+    rank = F.struct((-F.length("pattern")).alias("o"), "effect", "list", "pattern", "valid_from")
+    judged = met.groupBy("id").agg(F.first("row").alias("row"), F.min(F.when(F.col("pattern").isNotNull(), rank)).alias("best"), F.count("pattern").alias("n"))
     return judged.select(
-        *kept,
-        F.when(F.col("_best.effect") == "block", F.lit("block")).otherwise(F.lit("keep")).alias("verdict"),
-        F.col("_best.list").alias("rule_list"),
-        F.col("_best.pattern").alias("rule_pattern"),
-        F.col("_best.valid_from").alias("rule_since"),
-        F.size("_active").cast("long").alias("n_active"),
+        "row.*",
+        F.when(F.col("best.effect") == "block", F.lit("block")).otherwise(F.lit("keep")).alias("verdict"),
+        F.col("best.list").alias("rule_list"),
+        F.col("best.pattern").alias("rule_pattern"),
+        F.col("best.valid_from").alias("rule_since"),
+        F.col("n").alias("n_active"),
     )
 
 
