@@ -45,7 +45,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.read(warc.write(table(spark, sf_dir, "pages")))
-    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
+    whole = F.octet_length("record").cast("long").alias("record_bytes"), F.sha2("record", 256).alias("record_sha256")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified", *whole)
 
 
 def op7_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:

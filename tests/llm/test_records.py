@@ -25,12 +25,17 @@ def test_warc_round_trip(spark):
         again = len(p) >= 100 and i != first
         expected[(i, len(p), hashlib.sha256(p).hexdigest(), "revisit" if again else "response", first if again else None)] += 1
     assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in out) == expected
+    names, referred = {}, []
     for r in out:
         head, _, rest = bytes(r.record).partition(b"\r\n\r\n")
         fields = dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])
         assert head.startswith(b"WARC/1.1\r\n") and rest.endswith(b"\r\n\r\n") and int(fields[b"Content-Length"]) == len(rest) - 4
+        names.setdefault((r.page_id, r.payload_digest), set()).add(fields[b"WARC-Record-ID"])
+        if r.record_type == "revisit":
+            referred.append(((r.refers_to, r.payload_digest), fields[b"WARC-Refers-To"]))
         if r.record_type == "response":
             assert rest[:-4].partition(b"\r\n\r\n")[2] == bytes(r.payload)
+    assert referred and all(name in names[of] for of, name in referred)
     assert warc.read(warc.write(pages.limit(0))).collect() == []
 
 
@@ -117,3 +122,60 @@ def test_deep_url_patterns(spark):
     captures = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id int, url string").withColumn("fetched_at", F.expr("TIMESTAMP_NTZ '2024-02-01 00:00:00'"))
     out = urlfilter.evaluate(captures, urlfilter.entries(spark, rows)).collect()
     assert [r.verdict for r in sorted(out)] == ["block", "block", "keep", "block", "keep"]
+
+
+def test_slots_of_very_long_and_odd_rows_equal_brute_force(spark):
+    """Slots are gapless and follow the cells' order; texts of any length count whole."""
+    texts = [None, "", "é" * 700_000, "x y " * 500_000, "a"]
+    rows = [(i, texts[i % 5]) for i in range(400)] + [(9, "a")] * 50
+    out = sharding.assign(spark.createDataFrame([(*r, "s", 3) for r in rows], "doc_id long, text string, shard string, slot int").repartition(5)).collect()
+    assert Counter((r.doc_id, r.size) for r in out) == Counter((i, len((t or "").encode()) + 8) for i, t in rows)
+    by = {}
+    for r in out:
+        cell = hashlib.md5(f"{r.doc_id}:{r.text_crc32}".encode()).hexdigest()[: sharding.CELL_DIGITS]
+        by.setdefault(r.shard, []).append((r.slot, cell, r.doc_id, r.text_crc32, r.size))
+    for found in by.values():
+        assert [x[0] for x in sorted(found)] == list(range(len(found))) and [x[1:] for x in sorted(found)] == sorted(x[1:] for x in found)
+
+
+def test_url_filter_equals_brute_force(spark):
+    """Every capture against every entry: hosts and paths of any depth, spells, ties and odd rows."""
+    rnd = random.Random(5)
+    label = lambda: rnd.choice("abc")
+    name = lambda: ".".join(label() for _ in range(rnd.randrange(1, 11))) + ".org"
+    trail = lambda: "".join("/" + label() for _ in range(rnd.randrange(0, 7)))
+    day = lambda: f"2024-{rnd.randrange(1, 13):02d}-{rnd.randrange(1, 29):02d}"
+    patterns = [name() + trail() for _ in range(40)] + ["org", "a.org", "b.org/a"]
+    listed = [(rnd.choice("xy"), rnd.choice(["block", "allow"]), rnd.choice(patterns), rnd.choice(["add", "add", "remove"]), day()) for _ in range(300)] + [("x", "block", None, "add", day()), ("x", "block", "a.org", None, day()), ("x", "block", "a.org", "add", None)]
+    urls = [f"http://{name()}{trail()}" for _ in range(200)] + [f"http://{p.split('/')[0]}/{'/'.join(p.split('/')[1:])}/x?q#f" for p in patterns] + ["http://u@A.ORG.:80/A//b/", "no url", "", None, "http:///x"]
+    captures = [(i, u, day() if i % 17 else None) for i, u in enumerate(urls)] * 2
+    df = spark.createDataFrame([(*c, "kept", 1) for c in captures], "page_id int, url string, day string, row string, id int").withColumn("fetched_at", F.to_timestamp_ntz(F.col("day"), F.lit("yyyy-MM-dd")))
+    changes: dict = {}
+    for l, effect, p, action, d in listed:
+        if p and action and d:
+            changes.setdefault((l, p), {}).setdefault(d, []).append((action, effect))
+    spells = []
+    for (l, p), by_day in changes.items():
+        days = sorted(by_day)
+        for d, later in zip(days, [*days[1:], "9999"]):
+            action, effect = max(by_day[d])
+            if action == "add":
+                spells.append((l, effect, p, d, later))
+
+    def judge(url, at):
+        m = __import__("re").match(r"[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)[^/?#]*(/[^?#]*)?", (url or "").lower().strip())
+        if not m or not at:
+            return "keep", None, 0
+        host, where = m[1].rstrip("."), "/" + "".join(x + "/" for x in (m[2] or "").split("/") if x)
+        met = []
+        for l, effect, p, d, later in spells:
+            top, _, rest = p.partition("/")
+            if d <= at < later and (host == top or host.endswith("." + top)) and where.startswith("/" + rest + "/" if rest else "/"):
+                met.append((-len(p), effect, l, p, d))
+        best = min(met, default=None)
+        return ("block" if best and best[1] == "block" else "keep"), best and best[3], len(met)
+
+    out = urlfilter.evaluate(df, urlfilter.entries(spark, listed)).collect()
+    assert all(r.row == "kept" and r.id == 1 for r in out)
+    assert Counter((r.page_id, r.verdict, r.rule_pattern, r.n_active) for r in out) == Counter((i, *judge(u, d)) for i, u, d in captures)
+    assert sum(r.n_active > 0 for r in out) > 40
