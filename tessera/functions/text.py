@@ -88,8 +88,7 @@ def language(path: Column) -> Column:
 
 def import_root(statement: Column, parity: bool = False) -> Column:
     """The root module of an import statement, in lower case; commas are stripped unless ``parity``."""
-    token = F.get(F.split(strip(statement), r"\s+"), F.lit(1))
-    root = F.lower(F.split_part(token, F.lit("."), F.lit(1)))
+    root = F.lower(F.regexp_extract(statement, r"^(?U:\s)*\S+\s+([^\s.]*)", 1))  # only the head of a long text is looked at
     return root if parity else F.rtrim(root, F.lit(","))
 
 

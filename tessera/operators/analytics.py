@@ -37,10 +37,11 @@ def projects(nodes: DataFrame) -> DataFrame:
 def central_components(contains: DataFrame, calls: DataFrame, limit: int = 10) -> DataFrame:
     """path, entity_count and call_count of the files with most entities and called entities. ``contains``: (path, entity); ``calls``: (entity, called).
 
-    Both sides are distinct edges, so the left join is counted by two distinct aggregates.
+    Both sides are distinct edges, so entities are counted before the join and only what they call is counted as distinct.
     """
-    joined = contains.join(calls, "entity", "left")
-    counted = joined.groupBy("path").agg(F.countDistinct("entity").alias("entity_count"), F.countDistinct("called").alias("call_count")).where("entity_count > 0")
+    entities = contains.where("entity IS NOT NULL").groupBy("path").agg(F.count(F.lit(1)).alias("entity_count"))
+    called = contains.join(calls, "entity").select("path", "called").distinct().groupBy("path").agg(F.count("called").alias("call_count"))
+    counted = entities.join(called, "path", "left").select("path", "entity_count", F.coalesce("call_count", F.lit(0).cast("long")).alias("call_count"))
     return counted.orderBy(F.desc(F.col("entity_count") + F.col("call_count")), "path").limit(limit)
 
 

@@ -57,7 +57,8 @@ def modified(changes: DataFrame, files: DataFrame) -> DataFrame:
     base = text.basename(F.col("changed"))
     by_name = changes.withColumn("name", base).join(files, "name").select("hash", "path")
     roots = changes.where(~F.col("changed").contains("/"))
-    endings = files.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.length("path")), lambda i: F.substring(F.col("path"), i, F.length("path")))).alias("changed"))
+    file = text.basename(F.col("path"))
+    endings = files.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.length(file)), lambda i: F.substring(file, i, F.length(file)))).alias("changed"))
     by_ending = roots.join(endings, "changed").select("hash", "path")
     return by_name.unionByName(by_ending).distinct()
 
@@ -67,14 +68,17 @@ def contains(files: DataFrame) -> DataFrame:
     return files.select(text.dirname(F.col("path")).alias("src"), F.col("path").alias("dst")).where("src IS NOT NULL").distinct()
 
 
-def resolve_calls(callers: DataFrame, entities: DataFrame, parity: bool = False) -> DataFrame:
+def resolve_calls(calls: DataFrame, entities: DataFrame, parity: bool = False) -> DataFrame:
     """Distinct (src, dst) of callers and every entity of the project that bears a called name.
 
-    ``callers``: (project, src, calls, ord); ``entities``: (project, name, dst, ord). With ``parity`` only entities stored no later than the caller count.
+    ``calls``: (project, src, name, ord), a row per call; ``entities``: (project, name, dst, ord). With ``parity`` only entities stored no later than the caller count.
+    A name that is called or borne often (``get``) is first reduced to its distinct callers and bearers, and what it joins to is split by the adaptive planner.
     """
-    called = callers.select("project", "src", F.col("ord").alias("_at"), F.explode("calls").alias("name"))
-    found = called.join(entities, ["project", "name"])
-    return (found.where(F.col("ord") <= F.col("_at")) if parity else found).select("src", "dst").distinct()
+    if parity:
+        found = calls.withColumnRenamed("ord", "_at").join(entities, ["project", "name"]).where(F.col("ord") <= F.col("_at"))
+    else:
+        found = calls.select("project", "src", "name").distinct().join(entities.select("project", "name", "dst").distinct(), ["project", "name"])
+    return found.select("src", "dst").distinct()
 
 
 def class_methods(rows: DataFrame, file: str, order: str, is_class: Column, is_function: Column, name: str) -> DataFrame:

@@ -40,11 +40,9 @@ def knn_postfilter(vectors: DataFrame, keep: Column, query: Column, k: int, key:
 
 
 def siblings(hits: DataFrame, members: DataFrame, group: str, key: str) -> DataFrame:
-    """``hits`` with the sorted keys of the other members of their group."""
-    other = members.select(group, F.col(key).alias("_other"))
-    found = hits.join(other, group, "left").where(F.col("_other").isNull() | (F.col("_other") != F.col(key)))
-    listed = found.groupBy(key).agg(F.array_sort(F.collect_set("_other")).alias("siblings"))
-    return hits.join(listed, key, "left").withColumn("siblings", F.coalesce("siblings", F.array().cast(f"array<{members.schema[key].dataType.simpleString()}>")))
+    """``hits`` with ``sibling``: a row for each other member of a hit's group, null where it has none. Rows, as a group may be any part of the table."""
+    other = members.select(F.col(group).alias("_group"), F.col(key).alias("sibling")).distinct()
+    return hits.join(other, (F.col(group) == F.col("_group")) & (F.col(key) != F.col("sibling")), "left").drop("_group")
 
 
 def keyword_search(rows: DataFrame, words: Sequence[str], columns: Sequence[str], k: int, key: str) -> DataFrame:

@@ -335,10 +335,9 @@ def modified_or_join(t: Tables) -> DataFrame:
 @query("""SELECT DISTINCT o_custkey AS src, p_partkey AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey""")
 def calls_resolve(t: Tables) -> DataFrame:
     """Orders call parts by their keys' text."""
-    calls = t.lineitem.groupBy("l_orderkey").agg(F.collect_set(F.col("l_partkey").cast("string")).alias("calls"))
-    callers = t.orders.join(calls, F.col("o_orderkey") == F.col("l_orderkey")).select(F.lit("P").alias("project"), F.col("o_custkey").alias("src"), "calls", F.col("o_orderkey").alias("ord"))
+    calls = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).select(F.lit("P").alias("project"), F.col("o_custkey").alias("src"), F.col("l_partkey").cast("string").alias("name"), F.col("o_orderkey").alias("ord"))
     entities = t.part.select(F.lit("P").alias("project"), F.col("p_partkey").cast("string").alias("name"), F.col("p_partkey").alias("dst"), F.lit(0).cast("long").alias("ord"))
-    return graph.resolve_calls(callers, entities)
+    return graph.resolve_calls(calls, entities)
 
 
 @query("""WITH h AS (SELECT *, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM events)
@@ -408,11 +407,11 @@ def knn_postfilter(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH h AS (SELECT vec_id, label, score FROM ({_NEAR}) ORDER BY score DESC, vec_id LIMIT 5)
-SELECT h.vec_id, h.score, coalesce(list_sort(list(DISTINCT e.vec_id) FILTER (WHERE e.vec_id <> h.vec_id)), []) AS siblings FROM h LEFT JOIN embeddings e ON e.label = h.label GROUP BY 1, 2""")
+SELECT DISTINCT h.vec_id, h.score, e.vec_id AS sibling FROM h LEFT JOIN embeddings e ON e.label = h.label AND e.vec_id <> h.vec_id""")
 def knn_siblings(t: Tables) -> DataFrame:
     """J11, A9, F9."""
     hits = retrieval.knn(_vectors(t), F.col("q"), 5, "vec_id", digits=6).select("vec_id", "label", "score")
-    return retrieval.siblings(hits, t.embeddings, "label", "vec_id").select("vec_id", "score", "siblings")
+    return retrieval.siblings(hits, t.embeddings, "label", "vec_id").select("vec_id", "score", "sibling")
 
 
 _WORDS = ("thing", "than", "that")
@@ -450,11 +449,11 @@ def dedupe_first(t: Tables) -> DataFrame:
     return retrieval.dedupe_first(a.unionByName(b), ["name", "path"], ["source_rank", "pos"])
 
 
-@query("""SELECT DISTINCT l_suppkey AS caller, 0.3::DOUBLE AS score FROM lineitem WHERE l_partkey < 20 AND l_suppkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey < 20) ORDER BY 1 LIMIT 10""")
+@query("""SELECT DISTINCT l_suppkey AS caller, 0.3::DOUBLE AS score FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size = 7) AND l_suppkey NOT IN (SELECT p_partkey FROM part WHERE p_size = 7) ORDER BY 1 LIMIT 10""")
 def caller_expansion(t: Tables) -> DataFrame:
-    """Suppliers call parts."""
+    """Suppliers call parts; the parts of one size were found."""
     calls = t.lineitem.select(F.col("l_suppkey").alias("caller"), F.col("l_partkey").alias("called"))
-    return retrieval.callers(calls, t.part.where("p_partkey < 20").select(F.col("p_partkey").alias("name")), 10)
+    return retrieval.callers(calls, t.part.where("p_size = 7").select(F.col("p_partkey").alias("name")), 10)
 
 
 @query("""SELECT item_id AS hash, round(0.15 + (item_id % 7) / 20.0 + CASE WHEN contains(text, 'thing') OR contains(text, 'there') THEN 0.5 ELSE 0 END, 6) AS final_score FROM benchmark
