@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import unused
+from tessera.llm.common import bound_batches, unused
 
 #: Bytes of a word from which the heap takes over.
 LONG = 256
@@ -169,7 +169,7 @@ def _broadcast(df: DataFrame, path: str):
         model = f.read(MOST_BYTES + 1)
     if len(model) > MOST_BYTES:
         raise ValueError(f"{path} has more than {MOST_BYTES} bytes")
-    return df.sparkSession.sparkContext.broadcast(model)
+    return bound_batches(df).sparkSession.sparkContext.broadcast(model)
 
 
 def _schema(df: DataFrame, added: Sequence[T.StructField]) -> tuple[T.StructType, list[str]]:

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 #: Bits of a filter of keys: 16 MB, however many keys there are.
 BITS = 1 << 27
+#: Most bytes of an Arrow batch between the JVM and Python, beyond which a batch has one row.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Spark's own switch by which a statement's shuffle files go when it ends.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -72,6 +75,15 @@ class Scratch:
             pass
 
 
+def bound_batches(df: DataFrame) -> DataFrame:
+    """``df``; its session's Arrow batches are bounded by bytes from now on, as a batch of Spark's default number of rows may hold any number of megabytes of texts."""
+    conf = df.sparkSession.conf
+    number = re.fullmatch(r"(\d+)[bB]?", conf.get(_BATCH, str(2**31 - 2)))  # in other units it is a user's own choice
+    if number and int(number[1]) > BATCH_BYTES:
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df
+
+
 def place(*columns: Column | str) -> Column:
     """Where a key's bit stands in a :func:`bitmap`."""
     return F.pmod(F.xxhash64(*columns), F.lit(BITS))

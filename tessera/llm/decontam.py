@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tessera.llm.common import Scratch, hashes
+from tessera.llm.common import Scratch, bound_batches, hashes
 
 WINDOW, SLOP = 8, 2
 #: Words after which a shard is closed, and bytes of test texts searched at once.
@@ -171,7 +171,8 @@ def merged(spans: list[tuple[int, int]]) -> list[dict]:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, slop: int = SLOP, scratch: Scratch | None = None) -> DataFrame:
     """Per document: key, n_words, n_hit (words inside an exact match), spans, items, near_items and whole_items (names of items with exact, with exact or near, and with exact matches of a full window)."""
-    scratch = scratch or Scratch(docs.sparkSession, "postings")
+    spark = bound_batches(docs).sparkSession
+    scratch = scratch or Scratch(spark, "postings")
     index = scratch.write(build(docs, key, text, window + slop + 1), "index")
     tests = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("name"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text"))
     slices = 1 + int(tests.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0) // SLICE_BYTES

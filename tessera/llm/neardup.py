@@ -29,10 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BASE, BITS, Scratch, U, bitmap, hashes, marked, mix, place, unused, without
+from tessera.llm.common import BASE, Scratch, U, bitmap, bound_batches, hashes, marked, mix, place, unused, without
 
 N, TREES, DEPTH, ROOT, LEAF = 5, 16, 12, 4, 32
 #: Binary logarithm of the number of cells in which the exact join counts tokens to order them by rarity. Collisions cost time only: any order that all sets share is right.
@@ -354,8 +354,7 @@ def _labels(scratch: Scratch, docs: DataFrame, profiles: DataFrame, percent: int
 
 def _classes(docs: DataFrame, percent: int, key: str, text: str, n: int) -> tuple[Scratch, DataFrame, DataFrame]:
     """The profiles, and of each set (digest) that other rows share or that has a link: first (its rows' least key), rows (their number) and label (its class)."""
-    spark: SparkSession = docs.sparkSession
-    scratch = Scratch(spark, "neardup")
+    scratch = Scratch(bound_batches(docs).sparkSession, "neardup")
     profiles = scratch.write(_profiles(docs, key, text, n), "profiles")
     labels = _labels(scratch, docs, profiles, percent, text, n)
     firsts = profiles.where("digest IS NOT NULL").groupBy("digest").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("rows"))

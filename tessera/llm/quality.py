@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, held_out
+from tessera.llm.common import Scratch, bound_batches, held_out
 
 FEATURES, WIDTH, RIDGE, BINS = 256, 4.0, 1e-3, 2000
 STATISTICS = (
@@ -88,7 +88,7 @@ def isotonic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, n
 
 def profile(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and s, the statistics of the whole text."""
-    kind = docs.schema[key].dataType.simpleString()
+    kind = bound_batches(docs).schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, held_out
+from tessera.llm.common import Scratch, bound_batches, held_out
 
 MOST_ROWS, MOST_WORDS, LEAST_TEXTS, LEAST_Z = 12_000, 1024, 5, 2.5
 STEMS, TWICE = (4, 5, 6, 7), 2
@@ -101,7 +101,7 @@ def _sampled(labels: DataFrame, key: str, label: str, most: int, usable: Column
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", usable: Column | None = None, most_rows: int = MOST_ROWS, most_words: int = MOST_WORDS, fair: float = FAIR) -> Model:
     """Learns from the labelled rows for which ``usable`` (of the labels' columns) holds."""
-    scratch = Scratch(docs.sparkSession, "toxicity")
+    scratch = Scratch(bound_batches(docs).sparkSession, "toxicity")
     sample = F.broadcast(_sampled(labels, key, label, most_rows, usable))  # two numbers for each of about most_rows keys
     texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(sample, "_key")
 
@@ -191,7 +191,7 @@ def train(x: Rows, y: np.ndarray, change: Rows, size: int, fair: float, steps: i
 
 def scores(model: Model, docs: DataFrame, text: Column) -> Column:
     """A column of each whole text's score, 0 to 1."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = bound_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score_of(texts: pd.Series) -> pd.Series:
