@@ -37,6 +37,11 @@ def edges(rows: DataFrame, src: str, dst: str) -> DataFrame:
     return rows.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct()
 
 
+def append(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """All rows of both, however equal; absent columns are null. On disk the new rows are a part of their own."""
+    return existing.unionByName(incoming, allowMissingColumns=True)
+
+
 def clear_project(table: DataFrame, project: str) -> DataFrame:
     """A table without a project. On disk this is the removal of one partition."""
     return table.where(~F.col("project").eqNullSafe(project))

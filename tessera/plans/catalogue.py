@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.operators import analytics, graph, patterns, retrieval
+from tessera.plans import report
+from tessera.sources import embedding
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLE: dict[str, str] = {}
@@ -281,6 +283,17 @@ def format_lines(t: Tables) -> DataFrame:
     return t.events.groupBy("user_id").agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("lines"))
 
 
+_TYPES = {"en": "function", "de": "class", "fr": "script", "es": "import"}
+_TYPE_SQL = "CASE lang " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _TYPES.items()) + " END"
+
+
+@query(rf"""SELECT doc_id, type FROM (SELECT doc_id, {_TYPE_SQL} AS type, text FROM documents) WHERE type IN ('function', 'class', 'script', 'api_endpoint') AND regexp_matches(text, '\S')""")
+def embeddable(t: Tables) -> DataFrame:
+    """what is embedded, by type and content."""
+    kind = F.coalesce(*[F.when(F.col("lang") == k, v) for k, v in _TYPES.items()])
+    return t.documents.select("doc_id", kind.alias("type"), "text").where(embedding.embeddable(F.col("type"), F.col("text"))).select("doc_id", "type")
+
+
 # Graph building ------------------------------------------------------------------------------------------------------------------------------------------
 
 
@@ -376,6 +389,35 @@ def embed_align(t: Tables) -> DataFrame:
     return graph.aligned(t.documents.select("doc_id", "source"), t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
 
 
+@query(rf"""SELECT DISTINCT lang AS project, source AS src, root AS dst FROM (SELECT lang, source, rtrim(lower(split_part({_TOKEN}, '.', 1)), ',') AS root FROM documents WHERE doc_id % 3 = 0) WHERE root <> ''""")
+def uses_library(t: Tables) -> DataFrame:
+    """Sources are files; a third of the texts are external imports, whose second word is the library."""
+    kind = F.when(F.col("doc_id") % 3 == 0, "external").otherwise("stdlib")
+    return graph.libraries(t.documents.select(F.col("lang").alias("project"), F.col("source").alias("file"), F.col("text").alias("name"), kind.alias("import_type")))[0]
+
+
+@query("""SELECT DISTINCT CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') END AS src, path AS dst FROM (SELECT regexp_replace(url, '^[a-z]+://', '') AS path FROM pages UNION ALL SELECT n_name FROM nation) WHERE contains(path, '/')""")
+def folder_contains(t: Tables) -> DataFrame:
+    """Folders and their files, from the path alone; files of the root have no folder."""
+    return graph.contains(t.pages.select(F.regexp_replace("url", "^[a-z]+://", "").alias("path")).unionByName(t.nation.select(F.col("n_name").alias("path"))))
+
+
+@query("""SELECT conv_id AS key, turn AS index, text AS content, role FROM conversations UNION ALL SELECT item_id, 0, text, NULL FROM benchmark UNION ALL SELECT item_id, 0, text, NULL FROM benchmark""")
+def append_rows(t: Tables) -> DataFrame:
+    """Rows are added however often they are there."""
+    new = t.benchmark.select(F.col("item_id").alias("key"), F.lit(0).cast("long").alias("index"), F.col("text").alias("content"))
+    return graph.append(graph.append(t.conversations.select(F.col("conv_id").alias("key"), F.col("turn").alias("index"), F.col("text").alias("content"), "role"), new), new)
+
+
+_SECTIONS = {"suffixes": ("naming_suffix", "affix", "n"), "prefixes": ("naming_prefix", "affix", "n"), "style": ("naming_style", "style", "snake"), "dependencies": ("external_deps", "library", "usage_count")}
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS section, {name} AS name, {value}::BIGINT AS value FROM ({_ORACLE[q]})" for k, (q, name, value) in _SECTIONS.items()))
+def detection_bundle(t: Tables) -> DataFrame:
+    """The detectors' findings in one table."""
+    return report.detection(**{k: _QUERIES[q](t.spark, t.sf_dir).select(name, value) for k, (q, name, value) in _SECTIONS.items()})
+
+
 # Retrieval -----------------------------------------------------------------------------------------------------------------------------------------------
 
 _Q = "(SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 7)"

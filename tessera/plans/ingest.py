@@ -52,7 +52,7 @@ def ingest(house: Warehouse, path: str, project: str, embedder: embedding.Embedd
 
 def _embedded(rows: DataFrame, embedder: embedding.Embedder) -> DataFrame:
     """Entities of the embeddable types with vectors; the others, and blank ones, with an empty one."""
-    wanted = F.col("type").isin(list(embedding.EMBEDDED)) & F.col("content").rlike(r"\S")
+    wanted = embedding.embeddable(F.col("type"), F.col("content"))
     out = embedding.embed(rows.withColumn("_text", F.when(wanted, F.col("content"))), embedder, "_text").drop("_text")
     return out.withColumn("embedding", F.coalesce("embedding", F.array().cast("array<float>")))
 
@@ -71,7 +71,7 @@ def _folders_and_edges(house: Warehouse, project: str, parity: bool) -> None:
     folders = held.select(text.dirname(F.col("path")).alias("path")).where("path IS NOT NULL").distinct()
     house.replace("folder", project, folders.withColumn("name", text.basename(F.col("path"))))
     own = entities.where("file IS NOT NULL").withColumn("id", node(F.col("file"), F.col("name")))
-    calls = graph.resolve_calls(own.where("size(calls) > 0").select("project", F.col("id").alias("src"), "calls", "ord"), own.select("project", "name", F.col("id").alias("dst"), "ord"), parity)
+    calls = graph.resolve_calls(own.select("project", F.col("id").alias("src"), F.explode("calls").alias("name"), "ord"), own.select("project", "name", F.col("id").alias("dst"), "ord"), parity)
     if parity:
         methods = graph.class_methods(own, "file", "ord", F.col("type") == "class", F.col("type") == "function", "name")
     else:
@@ -84,11 +84,10 @@ def _folders_and_edges(house: Warehouse, project: str, parity: bool) -> None:
     rows = None
     for name, part in parts:
         rows = _edge(part, name) if rows is None else rows.unionByName(_edge(part, name))
-    house.replace("edge", project, rows.distinct())
+    house.replace("edge", project, rows.distinct(), part="code")
     house.replace("library", project, libraries)
     blank = stubs.select("project", F.lit(None).cast("string").alias("file"), "name", F.lit("class").alias("type"), F.array(F.lit("CodeEntity"), F.lit("class")).alias("labels"), F.lit("").alias("content"), F.array().cast("array<float>").alias("embedding"))
-    if not blank.isEmpty():
-        house.append("code_entity", project, blank)
+    house.replace("code_entity", project, blank, part="stub")
 
 
 def _documents(house: Warehouse, project: str, path: str, embedder: embedding.Embedder) -> None:
@@ -109,8 +108,7 @@ def _commits(house: Warehouse, project: str, path: str, embedder: embedding.Embe
     commits = house.read("commit", project)
     changes = commits.select("hash", F.explode(F.transform("files_changed", text.slashes)).alias("changed"))
     links = graph.modified(changes, house.read("file", project).select("path", "name")).select(F.col("hash").alias("src"), F.col("path").alias("dst"))
-    others = house.read("edge", project).where("edge <> 'modified'").select("edge", "src", "dst")
-    house.replace("edge", project, others.unionByName(_edge(links, "modified")))
+    house.replace("edge", project, _edge(links, "modified"), part="modified")
 
 
 def recent(house: Warehouse, project: str, limit=3, parity: bool = False) -> DataFrame:

@@ -53,6 +53,16 @@ def patterns_report(house: Warehouse, project: str) -> dict:
         entities.unpersist()
 
 
+def detection(**sections: DataFrame) -> DataFrame:
+    """The detectors' findings as rows (section, name, value), of each DataFrame its first two columns."""
+    out = None
+    for section, df in sections.items():
+        name, value = df.columns[:2]
+        rows_ = df.select(F.lit(section).alias("section"), F.col(name).cast("string").alias("name"), F.col(value).cast("long").alias("value"))
+        out = rows_ if out is None else out.unionByName(rows_)
+    return out
+
+
 def structure(house: Warehouse, project: str) -> list[dict]:
     folders = house.read("folder", project).select(F.col("path").alias("folder_key"), F.col("name").alias("folder"))
     contained = house.edges(project, "contains").select(F.col("src").alias("folder_key"), F.element_at(F.split("dst", "/"), -1).alias("file"))

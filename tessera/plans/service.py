@@ -27,6 +27,8 @@ class Service:
     llm: prompts.LLM | None = None
     #: A folder that the driver's git and all executors reach, as a mounted share; below the warehouse if empty.
     clones: str = ""
+    #: Patterns by project, until it is ingested again: they change only then, and finding them takes several passes.
+    _patterns: dict = field(default_factory=dict)
 
     def projects(self) -> list[str]:
         return self.house.projects()
@@ -90,14 +92,22 @@ class Service:
 
     def ingest(self, url: str, name: str) -> dict:
         path = git.clone_or_pull(url, f"{self.clones or self.house.root + '/clones'}/{self.house.normalise(name)}")
-        return ingest.ingest(self.house, path, name, self.embedder, url)
+        try:
+            found = ingest.ingest(self.house, path, name, self.embedder, url)
+        finally:
+            self._patterns.pop(self.house.normalise(name), None)
+        self._patterns[self.house.normalise(name)] = found["patterns"]
+        return found
 
     def onboarding(self, project: str) -> dict:
         found = report.onboarding(self.house, project)
         return found | {"narrative": prompts.onboarding_narrative(found, self.llm)}
 
     def patterns(self, project: str) -> dict:
-        return report.patterns_report(self.house, project)
+        name = self.house.normalise(project)
+        if name not in self._patterns:
+            self._patterns[name] = report.patterns_report(self.house, project)
+        return self._patterns[name]
 
     def update(self, project: str) -> dict:
         """Ingests again from the URL that the project's files carry; LookupError if none does."""

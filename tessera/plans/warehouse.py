@@ -1,13 +1,16 @@
-"""Node and edge tables as Parquet, partitioned by project.
+"""Node and edge tables as Parquet, partitioned by project, behind versioned manifests.
 
-A project's rows of a table are replaced as a whole: the new rows are written to a fresh version folder and then a one-line manifest, which names the version of each
-project, is swapped in. Readers see the old version or the new one, a lost executor or driver leaves the old one, and no plan overwrites what it reads.
+A project's rows of a table are one or more parts, each a folder of its own. Rows are written to a fresh folder and then a new manifest, which names the folder of each
+part, appears under the next number by one rename. Readers take the manifest of the highest number, so they see all of a change or nothing; a writer that finds its number taken reads
+the newer manifest and puts its change on top of that, so writers of different parts lose nothing of each other. The last ``KEPT`` manifests and their folders stay, for readers that
+began before; a lost executor or driver leaves the manifest that was. (Where a file system's rename replaces a file, as a local disk's does, two writers must not publish in the same instant.)
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +19,9 @@ from tessera import schemas
 from tessera.functions.text import project_name
 from tessera.operators import graph
 
+#: Manifests that stay, and times that a writer tries to publish.
+KEPT, TRIES = 3, 20
+
 
 class Warehouse:
     def __init__(self, spark: SparkSession, root: str):
@@ -33,64 +39,97 @@ class Warehouse:
     def _schema(self, table: str) -> str:
         return schemas.EDGE if table == "edge" else schemas.NODES[table]
 
-    def _manifest(self, table: str) -> dict[str, str]:
-        path = self._path(f"{self.root}/{table}/manifest.json")
-        if not self._fs.exists(path):
-            return {}
-        return json.loads("".join(r.value for r in self.spark.read.text(path.toString()).collect()))  # one short line
-
-    def _swap(self, table: str, versions: dict[str, str]) -> None:
-        fresh, kept = self._path(f"{self.root}/{table}/manifest-{uuid.uuid4().hex}"), self._path(f"{self.root}/{table}/manifest.json")
-        out = self._fs.create(fresh, True)
-        out.write(bytearray(json.dumps(versions).encode()))
-        out.close()
-        if not self._fs.rename(fresh, kept):
-            self._fs.delete(kept, False)
-            self._fs.rename(fresh, kept)
-
-    def read(self, table: str, project: str | None = None) -> DataFrame:
-        """A table, or one project's part of it: other projects' folders aren't listed."""
-        versions = self._manifest(table)
-        paths = [v for p, v in versions.items() if project is None or p == self.normalise(project)]
+    def _numbers(self, table: str) -> list[int]:
+        folder = self._path(f"{self.root}/{table}")
+        names = [s.getPath().getName() for s in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        return sorted(int(n[9:-5]) for n in names if n.startswith("manifest-") and n.endswith(".json"))
+
+    def _named(self, table: str, number: int) -> str:
+        return f"{self.root}/{table}/manifest-{number:012d}.json"
+
+    def _load(self, table: str, number: int) -> dict[str, str]:
+        return json.loads("".join(r.value for r in self.spark.read.text(self._named(table, number)).collect()))  # one short line
+
+    def _manifest(self, table: str) -> tuple[int, dict[str, str]]:
+        """The newest manifest's number, and its folders by part."""
+        numbers = self._numbers(table)
+        return (numbers[-1], self._load(table, numbers[-1])) if numbers else (0, {})
+
+    def _publish(self, table: str, change: Callable[[dict[str, str]], dict[str, str]]) -> None:
+        for _ in range(TRIES):
+            number, versions = self._manifest(table)
+            fresh, target = self._path(f"{self.root}/{table}/_manifest-{uuid.uuid4().hex}"), self._path(self._named(table, number + 1))
+            out = self._fs.create(fresh, True)
+            out.write(bytearray(json.dumps(change(versions)).encode()))
+            out.close()
+            if not self._fs.exists(target) and self._fs.rename(fresh, target):
+                self._forget(table)
+                return
+            self._fs.delete(fresh, False)
+        raise RuntimeError(f"{table} is being changed by others all the time")
+
+    def _forget(self, table: str) -> None:
+        """Removes manifests but the last few, and the folders that only they name."""
+        numbers = self._numbers(table)
+        old = numbers[:-KEPT]
+        if old:
+            named = lambda these: {v for n in these for v in self._load(table, n).values()}
+            for version in named(old) - named(numbers[-KEPT:]):
+                self._fs.delete(self._path(f"{self.root}/{table}/{version}"), True)
+            for n in old:
+                self._fs.delete(self._path(self._named(table, n)), False)
+
+    @staticmethod
+    def _project(part: str) -> str:
+        return part.partition("\t")[0]
+
+    def read(self, table: str, project: str | None = None, part: str | None = None) -> DataFrame:
+        """A table, one project's rows of it, or one part of these: other folders aren't listed."""
+        name = project and self.normalise(project)
+        wanted = lambda key: name is None or (self._project(key) == name if part is None else key == f"{name}\t{part}")
+        paths = [v for key, v in self._manifest(table)[1].items() if wanted(key)]
         if not paths:
             return self.spark.createDataFrame([], self._schema(table))
         return self.spark.read.schema(self._schema(table)).parquet(*[f"{self.root}/{table}/{p}" for p in paths])
 
-    def replace(self, table: str, project: str, rows: DataFrame) -> None:
-        """Puts rows in the place of the project's rows."""
-        name = self.normalise(project)
-        version = f"{uuid.uuid4().hex}"
+    def replace(self, table: str, project: str, rows: DataFrame, part: str = "") -> None:
+        """Puts rows in the place of a part of the project's rows."""
+        name, version = self.normalise(project), uuid.uuid4().hex
         columns = [c.strip().split()[0] for c in self._schema(table).split(", ")]
-        rows.withColumn("project", F.lit(name)).select(*columns).write.parquet(f"{self.root}/{table}/{version}")
-        versions = self._manifest(table)
-        old = versions.get(name)
-        self._swap(table, versions | {name: version})
-        if old:
-            self._fs.delete(self._path(f"{self.root}/{table}/{old}"), True)
+        rows = rows.withColumn("project", F.lit(name))
+        absent = {c: F.lit(None) for c in columns if c not in rows.columns}
+        typed = [F.col(f.name).cast(f.dataType) for f in self.spark.createDataFrame([], self._schema(table)).schema]
+        rows.withColumns(absent).select(*typed).write.parquet(f"{self.root}/{table}/{version}")
+        self._publish(table, lambda versions: versions | {f"{name}\t{part}": version})
 
     def upsert(self, table: str, project: str, rows: DataFrame, order: str) -> None:
         """Last write wins by the table's merge key."""
         keys = schemas.KEYS[table]
-        self.replace(table, project, graph.upsert(self.read(table, project), rows.withColumn("project", F.lit(self.normalise(project))), keys, order))
+        self.replace(table, project, graph.upsert(self.read(table, project, ""), rows.withColumn("project", F.lit(self.normalise(project))), keys, order))
 
     def append(self, table: str, project: str, rows: DataFrame) -> None:
-        self.replace(table, project, self.read(table, project).unionByName(rows.withColumn("project", F.lit(self.normalise(project))), allowMissingColumns=True))
+        """Adds rows as a part of their own; nothing that is there is read or written again."""
+        self.replace(table, project, rows, part=uuid.uuid4().hex)
 
     def clear(self, project: str) -> None:
         """Removes a project from every table."""
         name = self.normalise(project)
         for table in [*schemas.NODES, "edge"]:
-            versions = self._manifest(table)
-            if old := versions.pop(name, None):
-                self._swap(table, versions)
-                self._fs.delete(self._path(f"{self.root}/{table}/{old}"), True)
+            if any(self._project(k) == name for k in self._manifest(table)[1]):
+                self._publish(table, lambda versions: {k: v for k, v in versions.items() if self._project(k) != name})
 
     def projects(self) -> list[str]:
-        return sorted({p for table in schemas.NODES for p in self._manifest(table)})
+        return sorted({self._project(k) for table in schemas.NODES for k in self._manifest(table)[1]})
 
     def edges(self, project: str, edge: str) -> DataFrame:
         return self.read("edge", project).where(F.col("edge") == edge)
 
+    def query(self, statement: str, **parameters) -> DataFrame:
+        """A SQL statement over the tables by their names, with named parameters (``:name``). Errors reach the caller."""
+        for table in [*schemas.NODES, "edge"]:
+            self.read(table).createOrReplaceTempView(table)
+        return self.spark.sql(statement, args=parameters)
+
     def checkpoint(self, project: str) -> str:
         """The last ingested commit, or an empty text."""
         row = self.read("project_meta", project).select("last_commit").first()

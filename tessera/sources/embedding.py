@@ -10,7 +10,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,11 @@ DIMENSIONS = 768
 EMBEDDED = ("function", "class", "script", "api_endpoint")
 
 
+def embeddable(kind: Column, content: Column) -> Column:
+    """Whether an entity is embedded: one of the types, with content that isn't blank."""
+    return kind.isin(list(EMBEDDED)) & content.rlike(r"\S")
+
+
 class Embedder(Protocol):
     def embed(self, texts: Sequence[str]) -> list[list[float] | None]: ...
 
