@@ -2,7 +2,7 @@
 
 One pass over whole texts makes a row of ``STATISTICS`` numbers for each document; everything else works on those rows. The statistics are standardised by the moments
 of all documents. ``FEATURES`` random cosines approximate a Gaussian kernel over them; each partition adds up its part of the normal equations, the parts are
-summed cell by cell in an aggregation, and the driver solves one system of fixed size. Ridge scores of a quarter of the training rows, kept out of the equations, are counted in at most ``BINS`` bins;
+added up in some tasks, a block from each,, and the driver solves one system of fixed size. Ridge scores of a quarter of the training rows, kept out of the equations, are counted in at most ``BINS`` bins;
 pooling adjacent violators over the bins gives a monotone map from ridge score to probability.
 
 Defined results: null and empty texts have the statistics of no words, and a score like all others; keys without a label, null labels and null keys teach nothing; of several labels of a key the highest counts; repeated rows count as
@@ -11,6 +11,7 @@ often as they occur; without training rows every score is 0.5, with one class on
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -122,17 +123,24 @@ def fit(profiles: DataFrame, labels: DataFrame, key: str = "doc_id", label: str
             if len(b):
                 z = expand((_matrix(b["s"]) - m) / sd)
                 total += z.T @ np.hstack([z, b["y"].to_numpy("f8")[:, None]])
-        i, j = np.nonzero(np.triu(np.ones((size, size + 1))) * total)
-        yield pd.DataFrame({"i": i, "j": j, "v": total[i, j]})
+        yield pd.DataFrame({"block": [total.tobytes()]})
 
-    cells = rows.where("NOT calibrates").select("s", "y").mapInPandas(equations, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
-    total = np.zeros((size, size + 1))
-    total[cells["i"], cells["j"]] = cells["v"]
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(size * (size + 1))
+        for b in batches:
+            for block in b["block"]:
+                total += np.frombuffer(block)
+        yield pd.DataFrame({"block": [total.tobytes()]})
+
+    # One block from each partition, added up in few tasks (the square root of the number of shuffle partitions) before the driver adds the rest.
+    parts = rows.where("NOT calibrates").select("s", "y").mapInPandas(equations, "block binary")
+    some = max(1, math.isqrt(int(profiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    blocks = parts.repartition(some).mapInPandas(added, "block binary").toPandas()["block"]
+    total = sum((np.frombuffer(b) for b in blocks), np.zeros(size * (size + 1))).reshape(size, size + 1)
     n = total[size - 1, size - 1]  # the constant's square
     if not n:
         return Model(mean, scale, None, np.array([0.0]), np.array([0.5]))
-    gram = np.triu(total[:, :size]) + np.triu(total[:, :size], 1).T
-    weights = np.linalg.solve(gram + RIDGE * n * np.eye(size), total[:, size])
+    weights = np.linalg.solve(total[:, :size] + RIDGE * n * np.eye(size), total[:, size])
     found = context.broadcast(weights)
 
     def ridge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

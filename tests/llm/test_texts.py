@@ -89,6 +89,23 @@ def template_family(pairs, own):
     return rows
 
 
+def test_twins_of_a_crowded_family_stay_together(spark):
+    """Copies of one text that is not there, each with a twin: every region is crowded, and no twin is lost."""
+    rnd = random.Random(3)
+    word = lambda: f"w{rnd.getrandbits(40):x}"
+    base, rows = [word() for _ in range(120)], []
+    for i in range(500):
+        one = list(base)
+        for p in rnd.sample(range(120), 3):
+            one[p] = word()
+        two = list(one)
+        two[rnd.randrange(120)] = word()
+        rows += [(2 * i, " ".join(one)), (2 * i + 1, " ".join(two))]
+    found = components(rows, 85)
+    out = [(r.doc_id, r.n_shingles, r.component_id) for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 85).collect()]
+    assert sorted(out) == sorted(c[:3] for c in found)
+
+
 @pytest.mark.parametrize(("percent", "own"), [(85, 22), (80, 32)])
 def test_template_family_equals_all_pairs(spark, percent, own):
     rows = template_family(120, own)
@@ -194,6 +211,85 @@ def test_quality(spark):
     assert quality.classify(docs.limit(0), labels).collect() == []
 
 
+def test_quality_equals_brute_force(spark):
+    """Statistics, normal equations, ridge weights and calibration against numpy on the driver."""
+    rnd = random.Random(18)
+    texts = [" ".join(rnd.choice(["Alpha", "beta,", "Gamma!", "delta", "x1", "##", "é"]) for _ in range(rnd.randrange(0, 60))) + "\n" * (i % 3) for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    marks = [(i, int("!" in t) ^ (i % 11 == 0)) for i, t in enumerate(texts) if i % 4]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int")
+    profiles = quality.profile(docs).cache()
+    model = quality.fit(profiles, labels)
+    x = np.array([quality.statistics(t) for t in texts])
+    mean, scale = x.mean(axis=0), x.std(axis=0)
+    scale[scale < 1e-9] = 1
+    z = quality.expand((x - mean) / scale)
+    aside = {r.doc_id for r in labels.where(F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(4)) == 0).collect()}
+    fit = [(i, y) for i, y in marks if i not in aside]
+    a, y = z[[i for i, _ in fit]], np.array([y for _, y in fit], float)
+    weights = np.linalg.solve(a.T @ a + quality.RIDGE * len(fit) * np.eye(a.shape[1]), a.T @ y)
+    assert np.allclose(model.weights, weights, atol=1e-6)
+    ridge = z @ weights
+    kept = sorted((ridge[i], y) for i, y in marks if i in aside)
+    bins: dict = {}
+    for r, y in kept:
+        bins.setdefault(int(np.clip((r + 0.5) * (quality.BINS / 2), 0, quality.BINS - 1)), []).append((r, y))
+    means = [np.mean([r for r, _ in bins[k]]) for k in sorted(bins)]
+    # Isotonic regression by its min-max formula.
+    s, n = [sum(y for _, y in bins[k]) for k in sorted(bins)], [len(bins[k]) for k in sorted(bins)]
+    values = [max(min(sum(s[i : j + 1]) / sum(n[i : j + 1]) for j in range(k, len(s))) for i in range(k + 1)) for k in range(len(s))]
+    assert np.allclose(model.steps, means, atol=1e-6) and np.allclose(model.values, values, atol=1e-9)
+    got = {r.doc_id: r.score for r in quality.score(profiles, model).collect()}
+    assert np.allclose([got[i] for i in range(400)], np.interp(ridge, means, values), atol=1e-4)
+
+
+def test_toxicity_minimises_its_loss():
+    """The sparse descent against a dense loss written out, and against steps in any direction from its end."""
+    rng = np.random.default_rng(2)
+    x = (rng.random((300, 40)) < 0.2).astype(float)
+    y = (rng.random(300) < 1 / (1 + np.exp(-(x @ rng.normal(size=40)) * 2))).astype(float)
+    d = np.where(rng.random((30, 40)) < 0.1, rng.choice([-1.0, 1.0], (30, 40)), 0)
+    rows = toxicity.Rows([np.flatnonzero(r) for r in x])
+    change = toxicity.Rows([np.flatnonzero(r) for r in d], [r[np.flatnonzero(r)] for r in d])
+
+    def dense(w, b, fair):
+        z = x @ w + b
+        return np.mean(np.log(1 + np.exp(z)) - y * z) + toxicity.SHRINK * w @ w / 2 + fair * np.mean((d @ w) ** 2) / 2
+
+    for fair in (0.0, 1.0, 20.0):
+        w, b = toxicity.train(rows, y, change, 40, fair, steps=4000)
+        least = dense(w, b, fair)
+        assert abs(least - toxicity.loss(rows, y, change, w, b, fair)) < 1e-9
+        assert all(dense(w + 0.01 * rng.normal(size=40), b + 0.01 * rng.normal(), fair) > least - 1e-7 for _ in range(200))
+    gaps = [np.mean((d @ toxicity.train(rows, y, change, 40, f)[0]) ** 2) for f in (0.0, 1.0, 20.0)]
+    assert gaps[0] > gaps[1] > gaps[2]
+
+
+def test_counterfactuals():
+    assert toxicity.counterfactual("The MUSLIMS came. Nobody else! Die Frauen, les juifs") == "the jews came. nobody else! die männer, les hindous"
+    assert toxicity.counterfactual("manner of speaking") is None and toxicity.counterfactual(None) is None and toxicity.counterfactual("") is None
+
+
+def test_a_stem_cannot_carry_the_group(spark):
+    """Abuse goes with a group that is named twice, so its stems count too; the swap takes them along."""
+    rnd = random.Random(16)
+    rows = []
+    for i in range(1200):
+        w = [f"word{rnd.randrange(60)}x" for _ in range(rnd.randrange(8, 30))]
+        if i % 4 == 0:
+            w += ["muslims", "muslims", rnd.choice(["scumbag", "moron", "filler"])]
+        elif i % 4 == 1:
+            w += ["jews", "jews"]
+        rows.append((i, " ".join(w), int(i % 4 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    unfair, fair = (toxicity.fit(docs, labels, fair=f) for f in (0.0, 50.0))
+    assert any(w.startswith("musl") and w.endswith("*") for w in unfair.weights)
+    logit = lambda m, t: np.log(m.score(t) / (1 - m.score(t)))
+    gap = lambda m: abs(logit(m, "the muslims and muslims word1x") - logit(m, "the jews and jews word1x"))
+    assert gap(unfair) > 2 and gap(fair) < 0.25 * gap(unfair)
+
+
 def test_isotonic():
     x, y = quality.isotonic(np.arange(5.0), np.array([0.0, 3, 1, 4, 5]), np.array([5.0, 5, 5, 5, 5]))
     assert y.tolist() == [0.0, 0.4, 0.4, 0.8, 1.0] and len(x) == 5
