@@ -1,13 +1,13 @@
 """Exact top-k inner products of integer vectors, with norm order and Cauchy-Schwarz pruning of SVD-rotated partial sums.
 
 The singular vectors of all candidates (from their Gram matrix, summed over partitions) give a rotation that puts most of a product into its first coordinates.
-Candidates are sorted by descending length and cut into blocks of at most ``BLOCK`` rows. A first pass takes each query against the block of the longest vectors,
-which gives the k-th best score so far. The second takes blocks of queries against the other blocks: a block is skipped if its longest length times the
-query's cannot reach that score; else the partial sum over the first coordinates plus the product of the lengths of the rests bounds each score from above, and only
-pairs whose bound reaches the score are multiplied out. Bounds are floating, with a margin for rounding; the scores are integer products of the integer vectors.
+Candidates are sorted by descending length, over range partitions, and cut into blocks of at most ``BLOCK`` rows in that order. A first pass takes each query against the block of the longest vectors,
+which gives a floor under its k-th best score. The second takes the queries, block by block, along each partition's piece of the order: a block is skipped for a query if its longest length times the
+query's cannot reach the floor; else the partial sum over the first coordinates plus the product of the lengths of the rests bounds each score from above, and only
+pairs whose bound reaches the floor are multiplied out. Each block that is done raises the floors for the next. Bounds are floating, with a margin for rounding; the scores are integer products of the integer vectors.
 
-The query set and the candidates meet in blocks: a row of the joined table is a block, never a vector, and each (query block, candidate block) pair is met once.
-Best scores are reduced to k per query within each task before they are shuffled.
+The query set is broadcast in slices of at most ``SLICE_BYTES``, each of which passes over all candidates, so nothing that is sent grows with the data and no candidate is
+shuffled after it is sorted. A task keeps the k best of each query of the slice and hands them on at its end.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part, nor do rows without an id; a query meets only candidates of its own dimension;
 rows that bear the query's id are its own and no candidates, and of several the least vector is the query; among other rows, repeated ids are separate candidates; ties go to the smaller id; no other candidate, no row. Scores beyond 64 bits are out of range.
@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch
 
-#: Rows of a block of candidates and of queries, most rows of a part of the norm order, and bytes of the longest vectors that the first pass broadcasts.
-BLOCK, QUERIES, PART, SEED_BYTES = 4096, 1024, 65536, 8 << 20
+#: Rows of a block of candidates, queries that meet it at once, most rows of a part of the norm order, and bytes of the longest vectors and of the queries that are broadcast at once.
+BLOCK, QUERIES, PART, SEED_BYTES, SLICE_BYTES = 4096, 1024, 65536, 8 << 20, 16 << 20
 #: Share of the squared lengths that the leading coordinates hold.
 LEADING = 0.6
-_BLOCKS = "part int, longest double, ids binary, vectors binary"
+_BLOCKS = "longest double, ids binary, vectors binary"
 
 
 def quantised(vector: Column, scale: int = 256) -> Column:
@@ -62,14 +62,11 @@ def _blocks(rows: DataFrame, most: int, dim: int) -> DataFrame:
     """Rows (id, v) of each partition as blocks, in their order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
         for b in batches:
             for at in range(0, len(b), most):
                 x = b.iloc[at : at + most]
                 v = np.array(x["v"].tolist(), "i8").reshape(len(x), dim)
-                yield pd.DataFrame({"part": [part], "longest": [float(_lengths(v).max())], "ids": [x["id"].to_numpy("i8").tobytes()], "vectors": [v.tobytes()]})
+                yield pd.DataFrame({"longest": [float(_lengths(v).max())], "ids": [x["id"].to_numpy("i8").tobytes()], "vectors": [v.tobytes()]})
 
     return rows.mapInPandas(run, _BLOCKS)
 
@@ -119,7 +116,7 @@ def _search(scratch: Scratch, rows: DataFrame, asked: DataFrame, dim: int, n: in
     ordered = rows.repartitionByRange(parts, F.desc("sq"), F.asc("id")).sortWithinPartitions(F.desc("sq"), "id").select("id", "v")
     cands = scratch.write(_blocks(ordered, block, dim), f"candidates-{dim}")
 
-    # First pass: each query against the longest vectors, a block of bounded size. The k-th best score is the floor of the second.
+    # First pass: each query against the longest vectors, a block of bounded size. The k-th best score is the floor that the second begins with.
     longest = rows.orderBy(F.desc("sq"), "id").limit(max(k + 1, min(block, SEED_BYTES // (8 * dim)))).select("id", "v").toPandas()
     seed = context.broadcast((longest["id"].to_numpy("i8"), np.array(longest["v"].tolist(), "i8").reshape(-1, dim)))
 
@@ -131,30 +128,53 @@ def _search(scratch: Scratch, rows: DataFrame, asked: DataFrame, dim: int, n: in
             b["floor"] = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] >= k else np.full(len(b), -np.inf)
             yield b
 
-    blocks = F.pmod(F.xxhash64("id"), F.lit(max(1, asked.count() // query_block)))
-    asks = asked.mapInPandas(floors, "id long, v array<long>, floor double").groupBy(blocks.alias("q_block")).agg(F.collect_list(F.struct("id", "v", "floor")).alias("q"))
-    spread = asks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    slices = 1 + asked.count() * dim * 8 // SLICE_BYTES
+    found = None
+    for n in range(slices):
+        part = asked.where(F.pmod(F.xxhash64("id"), F.lit(slices)) == n).mapInPandas(floors, "id long, v array<long>, floor double").toPandas()
+        q = np.array(part["v"].tolist(), "i8").reshape(len(part), dim)
+        met = _meet(cands, context.broadcast((part["id"].to_numpy("i8"), q, part["floor"].to_numpy("f8"))), turned, dim, k, query_block)
+        met = met if slices == 1 else scratch.write(met, f"found-{dim}-{n}")
+        found = met if found is None else found.unionByName(met)
+    return found
+
+
+def _meet(cands: DataFrame, asked, turned, dim: int, k: int, query_block: int) -> DataFrame:
+    """Of each partition of candidate blocks the k best (query_id, vec_id, score) of each query that reach its floor. ``asked``: broadcast ids, vectors and floors; ``turned``: broadcast rotation."""
 
-    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         turn, lead = turned.value
-        for b in batches:
-            for row in b.itertuples():
-                qid, q, floor = (np.array([x[f] for x in row.q], t) for f, t in (("id", "i8"), ("v", "i8"), ("floor", "f8")))
-                cid = np.frombuffer(row.ids, "i8")
-                c = np.frombuffer(row.vectors, "i8").reshape(len(cid), dim)
-                lengths = _lengths(q)
-                margin = 1e-9 * lengths * row.longest + 1e-6
-                alive = np.flatnonzero(lengths * row.longest + margin >= floor)
-                if not len(alive):  # the whole block is too short for each query
-                    continue
-                qid, q, floor, margin = qid[alive], q[alive], floor[alive], margin[alive]
-                qr, cr = q @ turn, c @ turn
-                rest = _lengths(qr[:, lead:])[:, None] * _lengths(cr[:, lead:])[None, :]
-                i, j = np.nonzero((qr[:, :lead] @ cr[:, :lead].T + rest + margin[:, None] >= floor[:, None]) & (qid[:, None] != cid[None, :]))
-                exact = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * dim < 2**53
-                x, y = (q.astype("f8"), c.astype("f8")) if exact else (q, c)
+        qid, q, floor = asked.value
+        floor, lengths, qr = floor.copy(), _lengths(q), q @ turn
+        rests = _lengths(qr[:, lead:])
+        held = pd.DataFrame({"query_id": np.zeros(0, "i8"), "vec_id": np.zeros(0, "i8"), "score": np.zeros(0, "i8")})
+        order = np.argsort(qid)
+        for row in (row for b in batches for row in b.itertuples()):
+            cid = np.frombuffer(row.ids, "i8")
+            c = np.frombuffer(row.vectors, "i8").reshape(len(cid), dim)
+            margin = 1e-9 * lengths * row.longest + 1e-6
+            alive = np.flatnonzero(lengths * row.longest + margin >= floor)  # for the others the whole block is too short
+            if not len(alive):
+                continue
+            cr = c @ turn
+            c_rests = _lengths(cr[:, lead:])
+            exact = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * dim < 2**53
+            x, y = (q.astype("f8"), c.astype("f8")) if exact else (q, c)
+            parts = [held]
+            for some in (alive[s : s + query_block] for s in range(0, len(alive), query_block)):
+                bound = qr[some, :lead] @ cr[:, :lead].T + rests[some, None] * c_rests[None, :] + margin[some, None]
+                i, j = np.nonzero((bound >= floor[some, None]) & (qid[some, None] != cid[None, :]))
+                i = some[i]
                 scores = np.concatenate([np.zeros(0, "i8"), *(np.einsum("ij,ij->i", x[i[s : s + 65536]], y[j[s : s + 65536]]).astype("i8") for s in range(0, len(i), 65536))])
                 keep = scores >= floor[i]
-                yield _best(qid[i[keep]], cid[j[keep]], scores[keep], k)
-
-    return spread.join(cands, "part").select("q", "longest", "ids", "vectors").mapInPandas(meet, "query_id long, vec_id long, score long")
+                parts.append(_best(qid[i[keep]], cid[j[keep]], scores[keep], k))
+            both = pd.concat(parts)
+            held = _best(both["query_id"].to_numpy(), both["vec_id"].to_numpy(), both["score"].to_numpy(), k)
+            # Rows of held are in the order of queries, best first: a query's k-th is its new floor.
+            last = np.flatnonzero(np.diff(held["query_id"].to_numpy(), append=-1 if not len(held) else held["query_id"].iloc[-1] - 1)) if len(held) else np.zeros(0, int)
+            full = last[np.diff(last, prepend=-1) == k]
+            at = order[np.searchsorted(qid, held["query_id"].to_numpy()[full], sorter=order)]
+            floor[at] = np.maximum(floor[at], held["score"].to_numpy()[full])
+        yield held
+
+    return cands.mapInPandas(run, "query_id long, vec_id long, score long")

@@ -69,8 +69,9 @@ def brute(rows, queries, k):
     return out
 
 
-@pytest.mark.parametrize("block", [4096, 7])
-def test_topk(spark, block):
+@pytest.mark.parametrize(("block", "bytes_"), [(4096, 16 << 20), (7, 16 << 20), (64, 256)])
+def test_topk(spark, monkeypatch, block, bytes_):
+    monkeypatch.setattr(topk, "SLICE_BYTES", bytes_)
     rnd = random.Random(2)
     rows = [(i, [rnd.gauss(0, 1 + (i % 5)) for _ in range(6)]) for i in range(1, 700)]
     rows += [(1000 + i, [1.0, 2.0]) for i in range(4)] + [(2000, None), (2001, []), (2002, [1.0, None]), (2003, [float("nan"), 1.0]), (2004, [float("inf"), 1.0]), (None, [1.0, 1.0]), (2050, [3.0])]
