@@ -27,6 +27,8 @@ class Service:
     llm: prompts.LLM | None = None
     #: A folder that the driver's git and all executors reach, as a mounted share; below the warehouse if empty.
     clones: str = ""
+    #: Rows with vectors from which a project's table gets a vector index when it is ingested; smaller ones are scanned, which is exact.
+    index_from: int = 200_000
     #: Patterns by project, until it is ingested again: they change only then, and finding them takes several passes.
     _patterns: dict = field(default_factory=dict)
 
@@ -41,19 +43,30 @@ class Service:
         chunks = d.select(F.concat("path", F.lit("#"), F.col("index").cast("string")).alias("key"), text.basename(F.col("path")).alias("name"), "path", "content", F.lit("DocChunk").alias("type"), "embedding")
         return code, chunks
 
+    def _near(self, kind: str, project: str, rows: DataFrame, vector: list[float], k: int, key: str) -> DataFrame:
+        """The ``k`` nearest rows, from the index where there is one."""
+        held = self.house.indexed(kind, project)
+        return held.search(vector, k) if held else retrieval.knn(rows, retrieval.literal(vector), k, key)
+
+    def _index(self, project: str) -> None:
+        code, chunks = self._candidates(project)
+        for kind, rows, key in (("code", code, "key"), ("chunk", chunks, "key"), ("commit", self.house.read("commit", project), "hash")):
+            many = rows.where(F.size("embedding") > 0).count() >= self.index_from
+            self.house.index(kind, project, rows if many else None, key)
+
     def search(self, question: str, project: str, top_k: int = TOP_K) -> tuple[list[dict], list[dict]]:
         """Ranked code (with callers of what was found behind it) and commits for a question."""
         vector = embedding.embed_one(question, self.embedder)
         if vector is None:
             return [], []
-        words, q = _words(question), retrieval.literal(vector)
+        words = _words(question)
         code, chunks = self._candidates(project)
         columns = ["key", "name", "path", "content", "type", "score", "source_rank"]
         ranked = lambda df, rank: df.withColumn("source_rank", F.lit(rank)).select(*columns)
-        found = ranked(retrieval.knn(code, q, 2 * top_k, "key"), 0)
+        found = ranked(self._near("code", project, code, vector, 2 * top_k, "key"), 0)
         if words:
             found = found.unionByName(ranked(retrieval.keyword_search(code, words, ["name", "path", "content"], top_k, "key"), 1))
-        found = found.unionByName(ranked(retrieval.knn(chunks, q, top_k, "key"), 2))
+        found = found.unionByName(ranked(self._near("chunk", project, chunks, vector, top_k, "key"), 2))
         wanted = git.re.search(r"[\w/_-]+\.(py|java|js)\b", question, git.re.I)
         if wanted:
             held = self.house.read("file", project)
@@ -65,7 +78,7 @@ class Service:
         rows = report.rows(best.select("key", "name", "path", "content", "type", "final_score"))
         names = sorted({r["name"] for r in rows})
         rows += self._callers(project, rows, names, top_k)
-        return rows, self._commits(project, q, sorted({r["name"] for r in rows}), top_k)
+        return rows, self._commits(project, vector, sorted({r["name"] for r in rows}), top_k)
 
     def _callers(self, project: str, rows: list[dict], names: list[str], top_k: int) -> list[dict]:
         if not names:
@@ -78,8 +91,8 @@ class Service:
         firsts = retrieval.dedupe_first(entities.join(who, "name", "left_semi"), ["name"], ["path"])
         return report.rows(firsts.withColumn("final_score", F.lit(retrieval.CALLER_SCORE)).orderBy("name"))
 
-    def _commits(self, project: str, q, names: list[str], top_k: int) -> list[dict]:
-        near = retrieval.knn(self.house.read("commit", project), q, COMMITS, "hash")
+    def _commits(self, project: str, vector: list[float], names: list[str], top_k: int) -> list[dict]:
+        near = self._near("commit", project, self.house.read("commit", project), vector, COMMITS, "hash")
         best = retrieval.commit_bonus(near, names or ["\0"], TOP_K)
         return report.rows(best.select("hash", "author", F.col("date_raw").alias("date"), "message", "final_score"))
 
@@ -94,6 +107,7 @@ class Service:
         path = git.clone_or_pull(url, f"{self.clones or self.house.root + '/clones'}/{self.house.normalise(name)}")
         try:
             found = ingest.ingest(self.house, path, name, self.embedder, url)
+            self._index(name)
         finally:
             self._patterns.pop(self.house.normalise(name), None)
         self._patterns[self.house.normalise(name)] = found["patterns"]

@@ -18,9 +18,12 @@ from pyspark.sql import functions as F
 from tessera import schemas
 from tessera.functions.text import project_name
 from tessera.operators import graph
+from tessera.operators.index import VectorIndex
 
 #: Manifests that stay, and times that a writer tries to publish.
 KEPT, TRIES = 3, 20
+#: Kinds of vector indexes.
+INDEXES = ("code", "chunk", "commit")
 
 
 class Warehouse:
@@ -114,7 +117,7 @@ class Warehouse:
     def clear(self, project: str) -> None:
         """Removes a project from every table."""
         name = self.normalise(project)
-        for table in [*schemas.NODES, "edge"]:
+        for table in [*schemas.NODES, "edge", *(f"index-{k}" for k in INDEXES)]:
             if any(self._project(k) == name for k in self._manifest(table)[1]):
                 self._publish(table, lambda versions: {k: v for k, v in versions.items() if self._project(k) != name})
 
@@ -124,6 +127,20 @@ class Warehouse:
     def edges(self, project: str, edge: str) -> DataFrame:
         return self.read("edge", project).where(F.col("edge") == edge)
 
+    def index(self, kind: str, project: str, rows: DataFrame | None, key: str = "key") -> None:
+        """Puts a vector index of rows (with ``embedding``) in the place of a project's; none if rows is None."""
+        name, version, table = self.normalise(project), uuid.uuid4().hex, f"index-{kind}"
+        if rows is not None:
+            VectorIndex.build(rows, f"{self.root}/{table}/{version}", key)
+            self._publish(table, lambda versions: versions | {f"{name}\t": version})
+        elif f"{name}\t" in self._manifest(table)[1]:
+            self._publish(table, lambda versions: {k: v for k, v in versions.items() if k != f"{name}\t"})
+
+    def indexed(self, kind: str, project: str) -> VectorIndex | None:
+        """A project's vector index, if it has one."""
+        version = self._manifest(f"index-{kind}")[1].get(f"{self.normalise(project)}\t")
+        return VectorIndex(self.spark, f"{self.root}/index-{kind}/{version}") if version else None
+
     def query(self, statement: str, **parameters) -> DataFrame:
         """A SQL statement over the tables by their names, with named parameters (``:name``). Errors reach the caller."""
         for table in [*schemas.NODES, "edge"]:

@@ -313,6 +313,19 @@ def test_menu_and_pattern_cache(demo_again):
     assert s.patterns("demo") is not first
 
 
+def test_service_searches_its_indexes(demo_again):
+    s = demo_again
+    assert s.house.indexed("code", "demo") is None
+    s.index_from = 1
+    s.update("demo")
+    assert s.house.indexed("code", "demo") and s.house.indexed("commit", "demo") and s.house.indexed("chunk", "demo") is None
+    found = s.search("where is get_a defined?", "demo")
+    assert found[0][0]["name"] == "get_a"
+    s.index_from = 1000
+    s.update("demo")
+    assert s.house.indexed("code", "demo") is None and s.search("where is get_a defined?", "demo") == found
+
+
 def test_http(demo_again):
     fastapi = pytest.importorskip("fastapi")
     pytest.importorskip("httpx")
