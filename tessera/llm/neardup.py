@@ -171,7 +171,7 @@ def _to_hubs(regions: DataFrame) -> DataFrame:
 
 def _mixed(regions: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of regions that hold different components, with label and n, the region's number of sets. ``labels``: (node, label); a set that it lacks is its own."""
-    rows = regions.join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("region", "digest", "part", F.coalesce("label", "digest").alias("label"))
+    rows = regions.join(_merged(labels).withColumnRenamed("node", "digest"), "digest", "left").select("region", "digest", "part", F.coalesce("label", "digest").alias("label"))
     sizes = rows.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("region", "n")
     return rows.join(sizes, "region")
 
@@ -293,15 +293,20 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return two.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
+def _merged(labels: DataFrame) -> DataFrame:
+    """Labels for a join of two shuffled sides. Their files are far smaller than their rows, as many share a label, so Spark's estimate must not have them broadcast."""
+    return labels.hint("merge")
+
+
 def _components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
     """node and label (the least node that it reaches) of the links' ends: labels spread along links and jump to their label's label until none changes."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = scratch.write(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")), f"{name}-0")
     for k in range(1, 200):
-        heard = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "label", F.lit(None).cast("binary").alias("was"))
+        heard = both.join(_merged(labels).withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "label", F.lit(None).cast("binary").alias("was"))
         spread = heard.unionByName(labels.select("node", "label", F.col("label").alias("was"))).groupBy("node").agg(F.min("label").alias("label"), F.max("was").alias("was"))
         goal = spread.select(F.col("node").alias("label"), F.col("label").alias("goal"))
-        found = scratch.write(spread.join(goal, "label").select("node", F.col("goal").alias("label"), (F.col("goal") != F.col("was")).alias("moved")), f"{name}-{k}")
+        found = scratch.write(spread.join(_merged(goal), "label").select("node", F.col("goal").alias("label"), (F.col("goal") != F.col("was")).alias("moved")), f"{name}-{k}")
         scratch.drop(f"{name}-{k - 1}")
         labels = found.select("node", "label")
         if found.where("moved").isEmpty():
@@ -311,7 +316,7 @@ def _components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
 
 def _joined(scratch: Scratch, labels: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
     """The labels once the pairs that are linked have joined their components. ``labels`` is written table ``name`` then."""
-    of = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}"))
+    of = lambda end: _merged(labels).select(F.col("node").alias(end), F.col("label").alias(f"l{end}"))
     linked = _confirmed(pairs, sets, percent).join(of("a"), "a", "left").join(of("b"), "b", "left")
     found = scratch.write(linked.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b").distinct(), f"{name}-links")
     if found.isEmpty():
@@ -319,7 +324,7 @@ def _joined(scratch: Scratch, labels: DataFrame, pairs: DataFrame, sets: DataFra
     joined = _components(scratch, found, f"{name}-of")
     # A label that was joined stands for its own node too, which has no row of its own if no link was known of it.
     own = joined.select("node", F.col("node").alias("label")).join(labels, "node", "left_anti")
-    again = labels.unionByName(own).join(joined.select(F.col("node").alias("label"), F.col("label").alias("joined")), "label", "left")
+    again = labels.unionByName(own).join(_merged(joined).select(F.col("node").alias("label"), F.col("label").alias("joined")), "label", "left")
     return scratch.write(again.select("node", F.coalesce("joined", "label").alias("label")), name)
 
 
@@ -358,7 +363,7 @@ def _classes(docs: DataFrame, percent: int, key: str, text: str, n: int) -> tupl
     profiles = scratch.write(_profiles(docs, key, text, n), "profiles")
     labels = _labels(scratch, docs, profiles, percent, text, n)
     firsts = profiles.where("digest IS NOT NULL").groupBy("digest").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("rows"))
-    named = firsts.join(labels.withColumnRenamed("node", "digest"), "digest", "left").where("rows > 1 OR label IS NOT NULL")
+    named = firsts.join(_merged(labels).withColumnRenamed("node", "digest"), "digest", "left").where("rows > 1 OR label IS NOT NULL")
     named = scratch.write(named.select("digest", "first", F.coalesce("label", "digest").alias("label")), "named")
     scratch.drop("busy", "missing", "sets", "mixed")
     return scratch, profiles, named
