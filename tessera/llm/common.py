@@ -13,8 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bits of a filter of keys: 16 MB, however many keys there are.
-BITS = 1 << 27
+#: Most bits of a filter of keys: 16 MB, however many keys there are.
+MOST_BITS = 1 << 27
 #: Most bytes of an Arrow batch between the JVM and Python, beyond which a batch has one row.
 BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -84,23 +84,27 @@ def bound_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def place(*columns: Column | str) -> Column:
-    """Where a key's bit stands in a :func:`bitmap`."""
-    return F.pmod(F.xxhash64(*columns), F.lit(BITS))
+class Bitmap:
+    """A filter of keys: for each key the bit at its hash is set. It has 32 bits for each of ``n`` keys at least, and MOST_BITS at most; where these fill up, it only lets more through."""
 
+    def __init__(self, n: int):
+        self.size = 1 << min(MOST_BITS.bit_length() - 1, max(16, (32 * n).bit_length()))
+        self.words = np.zeros(self.size // 64, np.int64)
 
-def bitmap(places: Column, rows: DataFrame) -> np.ndarray:
-    """BITS bits, of which those at the rows' places are set: a filter of fixed size, however many rows there are."""
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))
-    words = rows.select(places.alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
-    out = np.zeros(BITS // 64, np.int64)
-    out[words["word"]] = words["bits"]
-    return out
+    def place(self, *columns: Column | str) -> Column:
+        """Where a key's bit stands."""
+        return F.pmod(F.xxhash64(*columns), F.lit(self.size))
 
+    def filled(self, rows: DataFrame, *columns: Column | str) -> Bitmap:
+        """With the bits of the rows' keys; what reaches the driver is its words that aren't zero."""
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))
+        words = rows.select(self.place(*columns).alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
+        self.words[words["word"]] = words["bits"]
+        return self
 
-def marked(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Whether the bits at these places are set."""
-    return (bits[places >> 6] >> (places & 63)) & 1 == 1
+    def has(self, places: np.ndarray) -> np.ndarray:
+        """Whether the bits at these places are set."""
+        return (self.words[places >> 6] >> (places & 63)) & 1 == 1
 
 
 def without(rows: DataFrame, gone: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -109,13 +113,14 @@ def without(rows: DataFrame, gone: DataFrame, on: Sequence[str]) -> DataFrame:
     Rows are not shuffled by their key: a bitmap of all of ``gone``'s keys lets through at once every row that it can't mean, and only the others, which are as many as
     ``gone`` means and few more, go to the join that decides. ``rows`` is read twice for that.
     """
-    held, flag = rows.sparkSession.sparkContext.broadcast(bitmap(place(*on), gone)), unused("maybe", rows)
+    bits = Bitmap(gone.count()).filled(gone, *on)
+    held, flag = rows.sparkSession.sparkContext.broadcast(bits), unused("maybe", rows)
 
     @F.pandas_udf("boolean")
     def maybe(places: pd.Series) -> pd.Series:
-        return pd.Series(marked(held.value, places.to_numpy()))
+        return pd.Series(held.value.has(places.to_numpy()))
 
-    flagged = rows.withColumn(flag, maybe(place(*[F.col(f"`{c}`") for c in on])))
+    flagged = rows.withColumn(flag, maybe(bits.place(*[F.col(f"`{c}`") for c in on])))
     named = gone.select(*[F.col(c).alias(f"{flag}_{c}") for c in on])
     same = [F.col(f"`{c}`").eqNullSafe(F.col(f"{flag}_{c}")) for c in on]
     doubtful = flagged.where(F.col(flag)).join(named, [*same], "left_anti")

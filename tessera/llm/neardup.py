@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BASE, Scratch, U, bitmap, bound_batches, hashes, marked, mix, place, unused, without
+from tessera.llm.common import BASE, Bitmap, Scratch, U, bound_batches, hashes, mix, unused, without
 
 N, TREES, DEPTH, ROOT, LEAF = 5, 16, 12, 4, 32
 #: Binary logarithm of the number of cells in which the exact join counts tokens to order them by rarity. Collisions cost time only: any order that all sets share is right.
@@ -92,21 +92,22 @@ def _mark(text: str) -> Column:
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
 
-def _sets(docs: DataFrame, marks: DataFrame, text: str, n: int) -> DataFrame:
-    """digest and set of the texts with these marks, and of the few others whose marks share their places in the bitmap.
+def _sets(docs: DataFrame, marks: DataFrame, most: int, text: str, n: int) -> DataFrame:
+    """digest and set of the texts with these marks (``most`` at most), and of the few others whose marks share their places in the bitmap.
 
     Texts are not shuffled: each task drops those that no mark can mean and hashes the rest.
     """
-    held = docs.sparkSession.sparkContext.broadcast(bitmap(place("mark"), marks))
+    bits = Bitmap(most).filled(marks, "mark")
+    held = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in np.flatnonzero(marked(held.value, b.column("place").to_numpy())):
+            for i in np.flatnonzero(held.value.has(b.column("place").to_numpy())):
                 h = shingles(b.column("text")[int(i)].as_py(), n)
                 if len(h):
                     yield pa.RecordBatch.from_pydict({"digest": pa.array([hashlib.blake2b(h.tobytes(), digest_size=16).digest()], pa.binary()), "set": pa.array([h.view("i8")], pa.list_(pa.int64()))})
 
-    rows = docs.select(place(_mark(text)).alias("place"), F.col(text).cast("binary").alias("text"))
+    rows = docs.select(bits.place(_mark(text)).alias("place"), F.col(text).cast("binary").alias("text"))
     return rows.mapInArrow(run, "digest binary, set array<long>")
 
 
@@ -219,8 +220,8 @@ def _entries(sets: DataFrame, percent: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype("i4")), pa.array(total[at])], ["cell", "n"])
 
     often = sets.select("set").mapInArrow(cells, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").toPandas()
-    counts = np.ones(1 << CELLS, np.int64)
-    counts[often["cell"]] = often["n"]
+    counts = np.ones(1 << CELLS, np.int32)
+    counts[often["cell"]] = often["n"].clip(upper=np.iinfo(np.int32).max)
     counts = sets.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,7 +336,7 @@ def _labels(scratch: Scratch, docs: DataFrame, profiles: DataFrame, percent: int
     # Full sets, of the sets that are part of a pair only.
     wanted = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
     marks = profiles.select("mark", "digest").join(wanted, "digest", "left_semi").groupBy("digest").agg(F.min("mark").alias("mark"))
-    sets = scratch.write(_sets(docs, marks, text, n).groupBy("digest").agg(F.first("set").alias("set")), "sets")
+    sets = scratch.write(_sets(docs, marks, 2 * pairs.count(), text, n).groupBy("digest").agg(F.first("set").alias("set")), "sets")
     links = scratch.write(_confirmed(pairs, sets, percent), "links")
     labels = _components(scratch, links, "labels")
 
