@@ -1,6 +1,6 @@
 """DuckDB SQL of the corpus operators' queries, over the driver's views."""
 
-from tessera.llm import warc
+from tessera.llm import sharding, warc
 from tessera.llm.urlfilter import ENTRIES
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -68,4 +68,14 @@ active AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY length(pattern)
 SELECT page_id, url, fetched_at, CASE WHEN effect = 'block' THEN 'block' ELSE 'keep' END AS verdict, list AS rule_list, pattern AS rule_pattern, since AS rule_since, coalesce(n, 0)::BIGINT AS n_active
 FROM c LEFT JOIN (SELECT * FROM active WHERE k = 1) USING (r)"""
 
-ORACLE = {"op1_neardup": _OP1, "op7_urlfilter": _OP7, "op3_topk": _OP3, "op6_warc": _OP6, "op10_decontamination": _OP10}
+#: CRC-32 by its table of 256 remainders, over the bytes of the text; a shard is the least of the keyed costs.
+_OP9 = f"""
+WITH k AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS remainders),
+d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, 'null') AS key, encode(coalesce(text, '')) AS b FROM documents),
+c AS (SELECT doc_id, key, octet_length(b) + 8 AS size, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(b), '..'), lambda h: ('0x' || h)::BIGINT)), lambda c, x: xor(c >> 8, remainders[xor(c, x) % 256 + 1])), 4294967295) AS crc FROM d, k),
+s AS (SELECT *, list_transform(range({sharding.SHARDS + 1}), lambda i: -ln((('0x' || substring(md5(key || ':' || i), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)) AS bids FROM c),
+w AS (SELECT *, (list_position(bids[1:{sharding.SHARDS}], list_min(bids[1:{sharding.SHARDS}])) - 1)::INTEGER AS shard, (list_position(bids, list_min(bids)) - 1)::INTEGER AS grown_shard FROM s)
+SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, '{sharding.LAW}' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY substring(md5(key || ':' || crc), 1, {sharding.CELL_DIGITS}), doc_id, crc, size) - 1 AS slot, grown_shard FROM w"""
+
+ORACLE = {"op9_sharding": _OP9, "op1_neardup": _OP1, "op7_urlfilter": _OP7, "op3_topk": _OP3, "op6_warc": _OP6, "op10_decontamination": _OP10}
