@@ -68,6 +68,13 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def keep(self, *names: str) -> None:
+        """Removes all tables but these."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if gone := [s.getPath().getName() for s in fs.listStatus(path) if s.getPath().getName() not in names]:
+            self.drop(*gone)
+
     def clear(self) -> None:
         try:
             self.drop()

@@ -366,7 +366,7 @@ def _classes(docs: DataFrame, percent: int, key: str, text: str, n: int) -> tupl
     firsts = profiles.where("digest IS NOT NULL").groupBy("digest").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("rows"))
     named = firsts.join(_merged(labels).withColumnRenamed("node", "digest"), "digest", "left").where("rows > 1 OR label IS NOT NULL")
     named = scratch.write(named.select("digest", "first", F.coalesce("label", "digest").alias("label")), "named")
-    scratch.drop("busy", "missing", "sets", "mixed")
+    scratch.keep("profiles", "named")
     return scratch, profiles, named
 
 
@@ -375,7 +375,7 @@ def classes(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str =
     scratch, profiles, named = _classes(docs, percent, key, text, n)
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
     of_set = scratch.write(named.join(least, "label").select("digest", "component_id", F.lit(True).alias("grouped")), "of-set")
-    scratch.drop("named")
+    scratch.keep("profiles", "of-set")
     out = profiles.select("key", "n_shingles", "digest").join(of_set, "digest", "left")
     component = F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("key"))
     return out.select(F.col("key").alias(key), "n_shingles", "digest", component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(False)).alias("kept"))
@@ -393,7 +393,7 @@ def representatives(docs: DataFrame, percent: int = 80, key: str = "doc_id", tex
     k, m = unused("key", docs), unused("mark", docs)
     gone = scratch.write(judged.where(~stays).select(F.col("key").alias(k), F.col("mark").alias(m)), "gone")
     twice = scratch.write(judged.where(stays & (F.col("n") > 1)).select(F.col("key").alias(k), F.col("mark").alias(m)), "twice")
-    scratch.drop("profiles", "named", "judged")
+    scratch.keep("gone", "twice")
     whole = docs.withColumns({k: F.col(key).cast("long"), m: _mark(text)})
     left = without(whole, gone, [k, m])
     # Rows equal in key and text are told apart by nothing; only such rows, if there are any, are compared with each other.

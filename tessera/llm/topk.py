@@ -103,6 +103,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
     for dim, n in sorted(sizes.items()):
         of_dim = F.size("v") == dim
         found = found.unionByName(_search(scratch, everything.where(of_dim), asked.where(of_dim), dim, n, k, block, query_block))
+    scratch.drop("vectors", "queries")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
