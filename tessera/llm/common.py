@@ -142,11 +142,6 @@ def unused(name: str, *frames: DataFrame) -> str:
     return name
 
 
-def lower_ascii(text: Column) -> Column:
-    """Lower-cases A-Z and nothing else."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def held_out(doc_id: Column) -> Column:
     """Whether a row is of the fold that no label may be learnt from. A null id is held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(True))
