@@ -77,12 +77,16 @@ def chunks(text: Column, size: int = CHUNK) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int")), lambda i: F.substring(text, i * size + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
 
 
+def extension(path: Column) -> Column:
+    """A path's extension with its dot, in lower case; empty where there is none."""
+    return F.lower(F.regexp_extract(path, r"\.[^./]+$", 0))
+
+
 def language(path: Column) -> Column:
     """The language of a path by its extension, or null."""
-    extension = F.lower(F.regexp_extract(path, r"\.[^./]+$", 0))
     found = F.lit(None).cast("string")
     for ending, name in LANGUAGES.items():
-        found = F.when(extension == ending, F.lit(name)).otherwise(found)
+        found = F.when(extension(path) == ending, F.lit(name)).otherwise(found)
     return found
 
 

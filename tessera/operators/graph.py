@@ -134,6 +134,6 @@ def changed_since(rows: DataFrame, changed: DataFrame, key: str) -> DataFrame:
     return rows.join(changed, key, "left_semi")
 
 
-def aligned(texts: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
+def aligned(texts: DataFrame, vectors: DataFrame, key: str | list[str]) -> DataFrame:
     """Texts with their vectors by key, null where one has none; positions are never matched."""
     return texts.join(vectors, key, "left")

@@ -418,6 +418,83 @@ def detection_bundle(t: Tables) -> DataFrame:
     return report.detection(**{k: _QUERIES[q](t.spark, t.sf_dir).select(name, value) for k, (q, name, value) in _SECTIONS.items()})
 
 
+# Filters, projections and limits --------------------------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT doc_id AS name FROM labels WHERE quality = 1 AND toxic = 1""")
+def entities_of_type(t: Tables) -> DataFrame:
+    """equality on several properties, which reaches the scan."""
+    return t.labels.where((F.col("quality") == 1) & (F.col("toxic") == 1)).select(F.col("doc_id").alias("name"))
+
+
+@query("""SELECT page_id, upper(url) AS path FROM pages WHERE contains(lower(url), 'example.org')""")
+def path_contains(t: Tables) -> DataFrame:
+    """A substring in any case."""
+    return t.pages.where(text.contains_any(F.col("url"), text.any_of(["example.org"]))).select("page_id", F.upper("url").alias("path"))
+
+
+@query("""SELECT 'file:' || source AS key, coalesce(l.quality, -1) AS quality, 'File' AS type, 0.4::DOUBLE AS vector_score, CASE WHEN l.toxic = 1 THEN 'toxic' WHEN l.toxic = 0 THEN 'clean' ELSE 'unknown' END AS state
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
+def file_rows(t: Tables) -> DataFrame:
+    """Aliases, constants, concatenation, defaults and cases."""
+    state = F.when(F.col("toxic") == 1, "toxic").when(F.col("toxic") == 0, "clean").otherwise("unknown")
+    joined = t.documents.select("doc_id", "source").join(t.labels, "doc_id", "left")
+    return joined.select(F.concat(F.lit("file:"), "source").alias("key"), F.coalesce("quality", F.lit(-1)).alias("quality"), F.lit("File").alias("type"), F.lit(0.4).alias("vector_score"), state.alias("state"))
+
+
+@query("""SELECT p_partkey AS key, p_name AS name, final_score FROM (SELECT *, round(p_size / 100.0::DOUBLE + CASE WHEN lower(p_name) = 'bolt' THEN 10 WHEN contains(lower(p_name), 'bolt') THEN 5 WHEN contains(lower(p_brand), 'bolt') THEN 3
+WHEN contains(lower(p_type), 'bolt') THEN 1 ELSE 0 END, 6) AS final_score FROM part) WHERE final_score > 0.15 ORDER BY final_score DESC, p_partkey LIMIT 7""")
+def ranked_slice(t: Tables) -> DataFrame:
+    """Scores added and compared, the best in a stable order."""
+    rows = t.part.select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"), F.col("p_brand").alias("path"), F.col("p_type").alias("content"), (F.col("p_size") / F.lit(100.0)).alias("score"), F.lit(0).alias("source_rank"))
+    return retrieval.rerank(rows, ["bolt"], 7, key="key").select("key", "name", "final_score")
+
+
+@query("""SELECT o_custkey AS path, count(*) AS commits FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5""")
+def limit_guard(t: Tables) -> DataFrame:
+    """A limit that is no number is the default."""
+    return analytics.hotspots(t.orders.select(F.col("o_custkey").alias("dst")), "non_un_numero")
+
+
+@query("""SELECT event_id, event_type || '.get' AS decorator FROM events""")
+def decorator_names(t: Tables) -> DataFrame:
+    """PR14."""
+    written = F.concat(F.lit(" @"), "event_type", F.lit('.get("/x('), "event_id", F.lit(')") '))
+    return t.events.select("event_id", text.decorator(written).alias("decorator"))
+
+
+@query(r"""SELECT page_id, list_extract(string_split(url, '/'), -1) AS name, regexp_replace(url, '/[^/]*$', '') AS folder, lower(regexp_extract(url, '\.[^./]+$')) AS extension FROM pages WHERE contains(url, '/')""")
+def path_parts(t: Tables) -> DataFrame:
+    """The last segment, what is before it, and the extension."""
+    return t.pages.where(F.col("url").contains("/")).select("page_id", text.basename(F.col("url")).alias("name"), text.dirname(F.col("url")).alias("folder"), text.extension(F.col("url")).alias("extension"))
+
+
+@query("""SELECT source AS file, doc_id AS name, embedding FROM documents d LEFT JOIN (SELECT 'src' || (vec_id % 20) AS file, vec_id AS name, embedding FROM embeddings) v ON v.file = d.source AND v.name = d.doc_id""")
+def nodes_with_vectors(t: Tables) -> DataFrame:
+    """Nodes with the vectors that were made of them, by file and name."""
+    vectors = t.embeddings.select(F.concat(F.lit("src"), F.col("vec_id") % 20).alias("file"), F.col("vec_id").alias("name"), "embedding")
+    return graph.aligned(t.documents.select(F.col("source").alias("file"), F.col("doc_id").alias("name")), vectors, ["file", "name"])
+
+
+@query(f"""WITH c AS (SELECT user_id AS hash, arg_max(event_type, event_id) AS message, max(event_id) AS at FROM events GROUP BY 1),
+f AS (SELECT c_mktsegment || '/' || c_name AS path, c_name AS name FROM customer), ch AS (SELECT hash, 'x/Customer#' || lpad(hash::VARCHAR, 9, '0') AS changed FROM c WHERE message <> 'view')
+SELECT DISTINCT hash, path FROM ch, f WHERE ends_with(path, changed) OR name = list_extract(string_split(changed, '/'), -1)""")
+def save_commits(t: Tables) -> DataFrame:
+    """Commits upserted by their key, the last one of each linked to the files that it changed."""
+    commits = graph.last_by_key(t.events, ["user_id"], "event_id")
+    changed = F.concat(F.lit("x/Customer#"), F.lpad(F.col("user_id").cast("string"), 9, "0"))
+    changes = commits.where("event_type <> 'view'").select(F.col("user_id").alias("hash"), changed.alias("changed"))
+    return graph.modified(changes, t.customer.select(F.concat("c_mktsegment", F.lit("/"), "c_name").alias("path"), F.col("c_name").alias("name")))
+
+
+@query(f"""SELECT 'hotspots' AS section, path::VARCHAR AS name, commits::BIGINT AS value FROM ({_ORACLE["hotspots_topk"]}) UNION ALL SELECT 'experts', author::VARCHAR, commits FROM ({_ORACLE["expertise_map"]})
+UNION ALL SELECT 'recent', message, hash FROM ({_ORACLE["recent_activity"]})""")
+def analytics_bundle(t: Tables) -> DataFrame:
+    """Hotspots, experts and recent activity in one table."""
+    of = lambda name: _QUERIES[name](t.spark, t.sf_dir)
+    return report.detection(hotspots=of("hotspots_topk").select("path", "commits"), experts=of("expertise_map"), recent=of("recent_activity").select("message", "hash"))
+
+
 # Retrieval -----------------------------------------------------------------------------------------------------------------------------------------------
 
 _Q = "(SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 7)"
