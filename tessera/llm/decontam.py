@@ -1,6 +1,6 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-The corpus is indexed in document-partitioned shards, as search engines do: each shard holds, for some hundred thousand words of whole texts, the
+The corpus is indexed in document-partitioned shards, as search engines do: each shard holds, for some ten thousand words of whole texts, the
 positions of every term, named by a 64-bit hash. Shards are rows of a Parquet table, one row each, so neither
 building nor searching shuffles anything and a source or a group of copies of any size is only more shards. An index is built once and answers any test set: searching a shard, a window's postings
 lists are taken from its rarest term there onwards; each list is shifted by its term's offset and intersected with the candidates so far. The
@@ -28,7 +28,7 @@ from tessera.llm.common import Scratch, bound_batches, hashes
 
 WINDOW, SLOP = 8, 2
 #: Words after which a shard is closed, and bytes of test texts searched at once.
-SHARD_WORDS, SLICE_BYTES = 200_000, 16 << 20
+SHARD_WORDS, SLICE_BYTES = 50_000, 16 << 20
 #: Words are runs of the bytes of [0-9a-z] and of all that isn't ASCII; A-Z is lower-cased.
 _SEPARATES = np.array([b < 0x80 and not (chr(b).isdigit() or "a" <= chr(b) <= "z") for b in range(256)])
 
