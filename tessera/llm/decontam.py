@@ -173,7 +173,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     """Per document: key, n_words, n_hit (words inside an exact match), spans, items, near_items and whole_items (names of items with exact, with exact or near, and with exact matches of a full window)."""
     spark = bound_batches(docs).sparkSession
     scratch = scratch or Scratch(spark, "postings")
-    index = scratch.write(build(docs, key, text, window + slop + 1), "index")
+    index = scratch.write(build(docs, key, text, window + slop + 1), "index", wide=True)
     tests = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("name"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text"))
     slices = 1 + int(tests.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0) // SLICE_BYTES
     found = None

@@ -5,11 +5,12 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import decontam, neardup, quality, toxicity
-from tessera.llm.common import held_out
+from tessera.llm.common import Scratch, held_out
 
 
 def sets(text, n=5):
@@ -165,6 +166,19 @@ def test_decontamination_equals_brute_force(spark, monkeypatch, words, bytes_):
     assert all(r.n_hit == 0 for r in decontam.decontaminate(d, spark.createDataFrame([], "item_id long, text string")).collect())
 
 
+def test_the_index_is_written_and_read_in_small_row_groups(spark):
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(2_000)), lambda k: F.concat(F.lit("w"), F.col("doc_id"), F.lit("x"), k)), " ")
+    d = spark.range(400).withColumnRenamed("id", "doc_id").coalesce(1).withColumn("text", text)
+    items = [(1, " ".join(f"w7x{k}" for k in range(20, 28))), (2, " ".join(f"w{k}x9" for k in range(8)))]
+    scratch = Scratch(spark, "postings")
+    out = decontam.decontaminate(d, spark.createDataFrame(items, "item_id long, text string"), scratch=scratch).collect()
+    assert sorted(r.doc_id for r in out) == list(range(400)) and [(r.doc_id, r["items"], r.n_hit) for r in out if r["items"]] == [(7, ["1"], 8)]
+    groups = [m.row_group(i) for f in pq.ParquetDataset(scratch.root + "/index").files for m in [pq.read_metadata(f)] for i in range(m.num_row_groups)]
+    row = max(g.total_byte_size / g.num_rows for g in groups)
+    assert sum(g.total_byte_size for g in groups) > 8 << 20, "too little for a test"
+    assert max(g.total_byte_size for g in groups) <= (4 << 20) + 2 * row
+
+
 def labelled(spark, n=900):
     rnd = random.Random(6)
     clean = [f"word{i}" for i in range(80)] + ["women", "men", "muslims"]
